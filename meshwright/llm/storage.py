@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,16 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints that no DataFrame refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def store(df: DataFrame) -> str:
+    """Write an intermediate table, compressed, to the shared checkpoint folder; drop() removes it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
