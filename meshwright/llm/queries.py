@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import quality_rules, simhash, suffix_dedup
+from meshwright.llm import bpe, mixing, quality_rules, sharding, simhash, suffix_dedup
+
+
+#: Installed on every executor with the tokenizer libraries.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +33,19 @@ def op8_suffix_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_repetition_coverage, op5_simhash_popcount_grid, op8_suffix_deep_shallow)}
+def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(_table(spark, sf_dir, "documents"), sharding.layout(24), sharding.layout(25))
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op8_suffix_deep_shallow, op10_bpe_chunk_reuse)}
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}

@@ -282,14 +282,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", n_chars_col: str | N
     text stays null. n_chars_col, where there is such a column, is counted anew.
     """
     marked = _with_spans(docs, text_col, length)
-    at, n = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, n = names.index(text_col), len(names)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary(batch.column(at))
             new = [_kept(texts[i].as_py(), batch.column(n + 1)[i].as_py(), batch.column(n)[i])[0].decode("utf-8", "ignore") if batch.column(at)[i].is_valid else None for i in range(batch.num_rows)]
             columns = [*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 : n]]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = marked.select(*docs.columns, "__spans", "__whole").mapInArrow(cleaned, docs.schema)
     return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in docs.columns else out
