@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import bpe, embedding_dedup, mixing, quality_rules, sharding, simhash, suffix_dedup
+from meshwright.llm import bpe, embedding_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 
 
 #: Installed on every executor with the tokenizer libraries.
@@ -37,6 +37,16 @@ def op8_suffix_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op1_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    settings = quality_classifier.Settings()
+    sample = quality_classifier.labelled_sample(docs, labels.where(rest != 0), settings, "doc_id", "text", "quality")
+    model = quality_classifier.train([r[0] for r in sample], [r[1] for r in sample], settings)
+    scored = quality_classifier.score_documents(docs, model)
+    return scored.select("doc_id", (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
@@ -50,6 +60,6 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op7_epsilon_grid_order, op8_suffix_deep_shallow, op10_bpe_chunk_reuse)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_embeddings, op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op7_epsilon_grid_order, op8_suffix_deep_shallow, op10_bpe_chunk_reuse)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}

@@ -194,14 +194,14 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     found = spark.read.parquet(path)
     differ = "a < b or s < e"
     ends = [F.min("tk").alias("a"), F.max("tk").alias("b"), F.min("pos").alias("s"), F.max("pos").alias("e")]
-    shared = found.groupBy("h").agg(*ends).where(differ).select("h")
+    shared = cut(found.groupBy("h").agg(*ends).where(differ).select("h"))
     found = cut(found.join(shared, "h", "left_semi"))
     drop(spark, path)
     contexts = cut(found.groupBy("h", "c").agg(*ends, F.min_by("pos", "tk").alias("pos")).select("h", "c", F.col("a").alias("tk"), "pos", F.expr(differ).alias("twice")))
     whole = contexts.where("twice").select("h", "c")
     spans = cut(found.join(whole, ["h", "c"], "left_semi").selectExpr("tk", "shiftright(pos, 32) as first", f"shiftright(pos, 32) + (shiftright(pos, 16) & 65535) + {length} as end"))
     release(spark)
-    groups = contexts.groupBy("h").agg(F.count("*").alias("n"), F.bool_and("twice").alias("done")).where("n > 1 and not done").select("h", "n")
+    groups = cut(contexts.groupBy("h").agg(F.count("*").alias("n"), F.bool_and("twice").alias("done")).where("n > 1 and not done").select("h", "n"))
     open_ = contexts.join(groups, "h").join(known.select("tk", "row"), "tk")
     wanted = open_.groupBy("row").agg(F.collect_list(F.struct("h", "tk", "pos", "twice", "n")).alias("wanted"))
     placed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(wanted, "row")
