@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import bpe, embedding_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from meshwright.llm import bpe, embedding_dedup, katz, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 
 
 #: Installed on every executor with the tokenizer libraries.
@@ -56,10 +56,17 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    scored = katz.score_texts(docs.select("doc_id", "text", (~held_out).alias("train")), "train")
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_embeddings, op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op7_epsilon_grid_order, op8_suffix_deep_shallow, op10_bpe_chunk_reuse)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_embeddings, op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op7_epsilon_grid_order, op8_suffix_deep_shallow, op9_katz_backoff, op10_bpe_chunk_reuse)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}
