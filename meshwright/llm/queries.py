@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import bpe, embedding_dedup, katz, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from meshwright.llm import bpe, embedding_dedup, katz, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 
 
 #: Installed on every executor with the tokenizer libraries.
@@ -29,6 +29,12 @@ def op5_simhash_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs, license_scan.fit(docs))
+    return found.select("doc_id", F.array_join("families", ",").alias("licences"), "n_paragraphs", "n_unknown", "probability")
+
+
 def op7_epsilon_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.vector_links(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -67,6 +73,6 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_embeddings, op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op7_epsilon_grid_order, op8_suffix_deep_shallow, op9_katz_backoff, op10_bpe_chunk_reuse)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_embeddings, op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op6_license_paragraphs, op7_epsilon_grid_order, op8_suffix_deep_shallow, op9_katz_backoff, op10_bpe_chunk_reuse)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}
