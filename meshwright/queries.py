@@ -314,26 +314,29 @@ def mesh_midpoints_and_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(both.select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), "x", "y", "h"), "x", "y", "h", digits=9)
 
 
-ELEMENTS = f"(select cell, a, b, c, p.x as x0, p.y as y0, q.x as x1, q.y as y1, r.x as x2, r.y as y2 from {TRIANGLES} join {NODES} p on a = p.node join {NODES} q on b = q.node join {NODES} r on c = r.node)"
-LOCAL = f"(select a as n, y1 - y2 as gy, x2 - x1 as gx, cell, abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) as det from {ELEMENTS} union all select b, y2 - y0, x0 - x2, cell, abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) from {ELEMENTS} union all select c, y0 - y1, x1 - x0, cell, abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) from {ELEMENTS})"
+#: Triangles with corners (el), and a row for each corner with its scaled gradient (loc).
+LOCAL = f"""with tri as materialized {TRIANGLES}, nod as materialized {NODES},
+el as materialized (select cell, a, b, c, p.x as x0, p.y as y0, q.x as x1, q.y as y1, r.x as x2, r.y as y2, abs((q.x - p.x) * (r.y - p.y) - (r.x - p.x) * (q.y - p.y)) as det
+  from tri join nod p on a = p.node join nod q on b = q.node join nod r on c = r.node),
+loc as materialized (select a as n, y1 - y2 as gy, x2 - x1 as gx, cell, det from el union all select b, y2 - y0, x0 - x2, cell, det from el union all select c, y0 - y1, x1 - x0, cell, det from el)"""
 
 
-@query(f"select s.n as i, t.n as j, round(sum((s.gx * t.gx + s.gy * t.gy) / (2 * s.det)), 6) + 0.0 as v from {LOCAL} s join {LOCAL} t on s.cell = t.cell group by 1, 2")
+@query(f"{LOCAL} select s.n as i, t.n as j, round(sum((s.gx * t.gx + s.gy * t.gy) / (2 * s.det)), 6) + 0.0 as v from loc s join loc t on s.cell = t.cell group by 1, 2")
 def p1_stiffness(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(forms.assemble(forms.stiffness(), _square(spark)), "v")
 
 
-@query(f"select s.n as i, t.n as j, round(sum(s.det * case when s.n = t.n then 2 else 1 end / 24), 12) as v from {LOCAL} s join {LOCAL} t on s.cell = t.cell group by 1, 2")
+@query(f"{LOCAL} select s.n as i, t.n as j, round(sum(s.det * case when s.n = t.n then 2 else 1 end / 24), 12) as v from loc s join loc t on s.cell = t.cell group by 1, 2")
 def p1_mass(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(forms.assemble(forms.mass(), _square(spark)), "v", digits=12)
 
 
-@query(f"select n as i, round(sum(3 * det / 6), 12) as v from {LOCAL} group by 1")
+@query(f"{LOCAL} select n as i, round(sum(3 * det / 6), 12) as v from loc group by 1")
 def p1_load(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(forms.assemble(forms.load(3.0), _square(spark)), "v", digits=12)
 
 
-@query(f"select 'area' as what, round(sum(det) / 2 / 3, 9) as v from {LOCAL} union all select 'nodes', round(sum(x), 9) from {NODES}")
+@query(f"{LOCAL} select 'area' as what, round(sum(det) / 2 / 3, 9) as v from loc union all select 'nodes', round(sum(x), 9) from nod")
 def functionals(spark: SparkSession, d: str) -> DataFrame:
     mesh = _square(spark)
     area = assembly.total(mesh).select(F.lit("area").alias("what"), F.round("value", 9).alias("v"))
