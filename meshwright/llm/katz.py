@@ -10,8 +10,9 @@ Documents are tokenised into blocks of some million tokens. A block sends its
 distinct words, and later its distinct bigrams, to the partition that owns the
 word or the history; the partition merges the counts of all blocks into its
 part of the count tables and answers each block with the counts it asked for.
-So a frequent word is a row per block, not a row per occurrence. Rows hold
-compressed arrays.
+So a frequent word is an entry per block, not one per occurrence. A history
+with more than a part's share of all tokens has its pairs spread over parts by
+word, in proportion to its share. Rows hold compressed arrays.
 """
 
 from __future__ import annotations
@@ -189,6 +190,7 @@ class Block:
     counts: np.ndarray  # of words, in the training tokens
     part: np.ndarray
     place: np.ndarray
+    end: int  # which word is the end of a text
 
     @classmethod
     def of(cls, text: bytes, answers: list[tuple[int, bytes]]) -> Block:
@@ -196,9 +198,9 @@ class Block:
         numbers, sizes, train = unpack(data)
         known = [(p, *unpack(d)) for p, d in sorted(answers)]
         part = np.concatenate([np.full(len(c), p) for p, c, _ in known])
-        return cls(ids, numbers.astype(np.int64), sizes.astype(np.int64), train.astype(bool), np.concatenate([c.astype(np.int64) for _, c, _ in known]), part, np.concatenate([x for _, _, x in known]))
+        return cls(ids, numbers.astype(np.int64), sizes.astype(np.int64), train.astype(bool), np.concatenate([c.astype(np.int64) for _, c, _ in known]), part, np.concatenate([x for _, _, x in known]), int(numbers[sizes.astype(np.int64)[0] - 1]))
 
-    def bigrams(self) -> None:
+    def bigrams(self, parts: int, tokens: int) -> None:
         """Distinct (history, word) pairs in order, start of text as the last history; `which` tells each token's pair."""
         n = len(self.counts)
         history = np.empty_like(self.numbers)
@@ -208,81 +210,121 @@ class Block:
         pairs, self.which = np.unique(history * (n + 1) + self.numbers, return_inverse=True)
         self.pair_history, self.pair_word = pairs // (n + 1), pairs % (n + 1)
         self.histories, self.pair_at = np.unique(self.pair_history, return_inverse=True)
-        # of histories: the part that owns them, and whether they are in its vocabulary
-        self.history_part = np.append(self.part, 0)[self.histories]
-        self.history_place = np.append(self.place, START)[self.histories]
-        self.asked = self.history_place != UNKNOWN
-        self.pair_asked = self.asked[self.pair_at] & (self.counts[self.pair_word] > 0)
+        # of histories: the part that owns them, whether they are in its vocabulary, and over how many parts their pairs are spread
+        home = np.append(self.part, 0)[self.histories]
+        place = np.append(self.place, START)[self.histories]
+        self.history_id = home.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
+        asked = place != UNKNOWN
+        spread = np.append(self.counts, self.counts[self.end])[self.histories] * parts // max(1, tokens) + 1
+        self.hot = spread > 1
+        self.history_part = np.where(asked, home, -1)
+        word = self.part[self.pair_word] + self.place[self.pair_word].astype(np.int64) * 7919
+        pair_part = (home[self.pair_at] + word % spread[self.pair_at]) % parts
+        self.pair_part = np.where(asked[self.pair_at] & (self.counts[self.pair_word] > 0), pair_part, -1)
 
     def questions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(part, its histories, their pairs) in an order that depends on the block alone."""
-        part = np.where(self.asked, self.history_part, -1)
-        pair_part = np.where(self.pair_asked, part[self.pair_at], -1)
-        order, pair_order = np.argsort(part, kind="stable"), np.argsort(pair_part, kind="stable")
-        for p in np.unique(part[part >= 0]):
-            a, b = np.searchsorted(part[order], [p, p + 1])
-            c, d = np.searchsorted(pair_part[pair_order], [p, p + 1])
-            yield int(p), order[a:b], pair_order[c:d]
-
-
-def _open(table: pa.Table) -> tuple[Block, list[tuple[int, bytes]]]:
+        """(part, histories asked of it, their pairs in the order of histories), depending on the block alone.
+
+        A history belongs to one part, but for those with more than a part's
+        share of all tokens: their pairs are spread over parts by word.
+        """
+        order = np.lexsort((np.arange(len(self.pair_part)), self.pair_part))
+        cold = np.where(self.hot, -1, self.history_part)
+        for p in np.unique(np.concatenate((self.pair_part, cold))):
+            if p < 0:
+                continue
+            c, d = np.searchsorted(self.pair_part[order], [p, p + 1])
+            pairs = order[c:d]
+            yield int(p), np.union1d(np.flatnonzero(cold == p), self.pair_at[pairs]), pairs
+
+
+def _open(table: pa.Table, parts: int, tokens: int) -> tuple[Block, list[tuple[int, bytes]]]:
     """The block of a group of rows (kind 0: text, 1: words, 2: bigrams), and the answers on its bigrams."""
     rows = list(zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["data"].to_pylist(), strict=True))
     block = Block.of(next(d for k, _, d in rows if k == 0), [(p, d) for k, p, d in rows if k == 1])
-    block.bigrams()
+    block.bigrams(parts, tokens)
     return block, [(p, d) for k, p, d in rows if k == 2]
 
 
-def _ask_bigrams(table: pa.Table) -> pa.Table:
-    block, _ = _open(table)
-    trained = np.bincount(block.which, np.repeat(block.train, block.sizes), len(block.pair_at)).astype(np.int64)
-    found = []
-    for part, histories, pairs in block.questions():
-        per_history = np.bincount(np.searchsorted(histories, block.pair_at[pairs]), minlength=len(histories))
-        words = block.pair_word[pairs]
-        found.append((part, pack(block.history_place[histories], _small(per_history), block.part[words].astype(np.uint32), block.place[words], _small(trained[pairs]), _small(block.counts[words]))))
-    return pa.table([pa.array([table["block"][0].as_py()] * len(found), pa.int64()), pa.array([p for p, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], names=["block", "part", "data"])
+def _ask_bigrams(parts: int, tokens: int):
+    def asked(table: pa.Table) -> pa.Table:
+        block, _ = _open(table, parts, tokens)
+        trained = np.bincount(block.which, np.repeat(block.train, block.sizes), len(block.pair_at)).astype(np.int64)
+        found = []
+        for part, histories, pairs in block.questions():
+            per_history = np.bincount(np.searchsorted(histories, block.pair_at[pairs]), minlength=len(histories))
+            words = block.pair_word[pairs]
+            found.append((part, pack(block.history_id[histories], block.hot[histories].astype(np.uint8), _small(per_history), block.part[words].astype(np.uint32), block.place[words], _small(trained[pairs]), _small(block.counts[words]))))
+        return pa.table([pa.array([table["block"][0].as_py()] * len(found), pa.int64()), pa.array([p for p, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], names=["block", "part", "data"])
+
+    return asked
 
 
 def _merge_bigrams(unigrams: Unigrams):
     def merged(table: pa.Table) -> pa.Table:
         """Of one part of the histories: counts of the pairs asked, and of the histories total, items by count and the unigram chance of words seen."""
         asked = [unpack(x.as_py()) for x in table["data"]]
-        places, which_history = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        history = np.repeat(which_history, np.concatenate([a[1] for a in asked]).astype(np.int64))
-        word = np.concatenate([a[2].astype(np.uint64) << np.uint64(32) | a[3].astype(np.uint64) for a in asked])
+        places, at, which_history = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
+        hot = np.concatenate([a[1] for a in asked])[at] > 0
+        history = np.repeat(which_history, np.concatenate([a[2] for a in asked]).astype(np.int64))
+        word = np.concatenate([a[3].astype(np.uint64) << np.uint64(32) | a[4].astype(np.uint64) for a in asked])
         words, which_word = np.unique(word, return_inverse=True)
         pairs, first, number = np.unique(history * max(1, len(words)) + which_word, return_index=True, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
-        np.add.at(counts, number, np.concatenate([a[4] for a in asked]).astype(np.int64))
+        np.add.at(counts, number, np.concatenate([a[5] for a in asked]).astype(np.int64))
         owner = history[first]
         total = np.bincount(owner, counts, len(places)).astype(np.int64)
-        chance = unigrams.chance(np.concatenate([a[5] for a in asked]).astype(np.int64)[first])
+        chance = unigrams.chance(np.concatenate([a[6] for a in asked]).astype(np.int64)[first])
         seen = np.bincount(owner, chance * (counts > 0), len(places))
         by_count = np.zeros((len(places), CUT), np.int64)
         few = (counts > 0) & (counts <= CUT)
         np.add.at(by_count, (owner[few], counts[few] - 1), 1)
         heads = np.cumsum([len(a[0]) for a in asked])[:-1]
-        tails = np.cumsum([len(a[2]) for a in asked])[:-1]
+        tails = np.cumsum([len(a[3]) for a in asked])[:-1]
         answers = [pack(_small(total[h]), *(_small(by_count[h, r]) for r in range(CUT)), seen[h], _small(counts[p])) for h, p in zip(np.split(which_history, heads), np.split(number, tails), strict=True)]
         kept = counts > 0
         model = pack(places[owner[kept]], words[which_word[first[kept]]] if len(words) else words, _small(counts[kept]))
         items = np.bincount(counts[kept & (counts <= CUT + 1)], minlength=CUT + 2)
-        return _answer(table["block"].to_pylist(), table["part"][0].as_py(), answers, model, int(counts.sum()), int(kept.sum()), items)
+        answer = _answer(table["block"].to_pylist(), table["part"][0].as_py(), answers, model, int(counts.sum()), int(kept.sum()), items)
+        return answer.append_column("spread", pa.array([None] * len(answers) + [pack(places[hot], total[hot], by_count[hot].ravel(), seen[hot])], pa.binary()))
 
     return merged
 
 
-def _evaluate(unigrams: Unigrams, discounts: Discounts, names: list[str], id_type: pa.DataType):
+def _spread_histories(rows: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Sums over parts of the figures of histories that are spread over them: id, total, items by count, chance seen.
+
+    They are at most as many as there are parts, and so are the parts of each
+    in proportion to its share: 2 * parts rows in all.
+    """
+    found = [unpack(x) for x in rows]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, CUT)), np.zeros(0)
+    ids, number = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    total, by_count, seen = np.zeros(len(ids)), np.zeros((len(ids), CUT)), np.zeros(len(ids))
+    np.add.at(total, number, np.concatenate([f[1] for f in found]))
+    np.add.at(by_count, number, np.concatenate([f[2] for f in found]).reshape(-1, CUT))
+    np.add.at(seen, number, np.concatenate([f[3] for f in found]))
+    return ids, total, by_count, seen
+
+
+def _evaluate(unigrams: Unigrams, discounts: Discounts, spread: tuple[np.ndarray, ...], parts: int, names: list[str], id_type: pa.DataType):
     def scored(table: pa.Table) -> pa.Table:
-        block, answers = _open(table)
+        block, answers = _open(table, parts, unigrams.tokens)
         answered = dict(answers)
         lower = unigrams.chance(block.counts)[block.pair_word]  # of each pair, by its word alone
         weight, own = np.ones(len(block.histories)), np.zeros(len(lower))
+        k = np.minimum(np.searchsorted(spread[0], block.history_id), max(0, len(spread[0]) - 1))
+        there = np.flatnonzero(block.hot & (spread[0][k] == block.history_id)) if len(spread[0]) else np.zeros(0, np.int64)
+        weight[there] = backoff(spread[1][k[there]], spread[2][k[there]], spread[3][k[there]], discounts)[1]
         for part, histories, pairs in block.questions():
             total, *by_count, seen, counts = unpack(answered[part])
+            total, by_count = total.astype(np.float64), np.stack(by_count, axis=1).astype(np.float64)
+            hot = np.flatnonzero(block.hot[histories])
+            k = np.searchsorted(spread[0], block.history_id[histories[hot]])
+            total[hot], by_count[hot], seen[hot] = spread[1][k], spread[2][k], spread[3][k]
             some = total > 0
-            divisor, off = backoff(total.astype(np.float64), np.stack(by_count, axis=1), np.where(some, seen, 0.0), discounts)
+            divisor, off = backoff(total, by_count, np.where(some, seen, 0.0), discounts)
             weight[histories] = np.where(some, off, 1.0)
             at = np.searchsorted(histories, block.pair_at[pairs])
             known = counts > 0
@@ -327,12 +369,13 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     release(spark)
     texts = blocks.where("part < 0").select("block", "part", "data", F.lit(0).alias("kind"))
     texts = texts.union(words.where("block is not null").select("block", "part", "data", F.lit(1).alias("kind")))
-    bigrams_path = store(texts.groupBy("block").applyInArrow(_ask_bigrams, ROW).groupBy("part").applyInArrow(_merge_bigrams(unigrams), f"{ROW}, {STATS}"))
+    bigrams_path = store(texts.groupBy("block").applyInArrow(_ask_bigrams(parts, tokens), ROW).groupBy("part").applyInArrow(_merge_bigrams(unigrams), f"{ROW}, {STATS}, spread binary"))
     bigrams = spark.read.parquet(bigrams_path)
     discounts = Discounts(_statistics(bigrams)[2])
+    spread = _spread_histories([r[0] for r in bigrams.where("block is null").select("spread").collect()])
     release(spark)
     every = texts.union(bigrams.where("block is not null").select("block", "part", "data", F.lit(2).alias("kind")))
-    found = cut(every.groupBy("block").applyInArrow(_evaluate(unigrams, discounts, schema.names, to_arrow_type(id_field.dataType)), schema))
+    found = cut(every.groupBy("block").applyInArrow(_evaluate(unigrams, discounts, spread, parts, schema.names, to_arrow_type(id_field.dataType)), schema))
     for each in (path, words_path, bigrams_path):
         drop(spark, each)
     return found
