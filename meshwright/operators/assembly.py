@@ -16,12 +16,12 @@ from meshwright.sources.generate import Mesh
 
 def placed_cells(mesh: Mesh) -> DataFrame:
     """(cell, vertices, points)."""
-    return with_points(mesh.cells, "vertices", mesh.nodes, ["cell", "vertices"])
+    return with_points(mesh.cells, "vertices", mesh.nodes, ["cell", "vertices"], meta.N_VERTICES[mesh.cell_type])
 
 
 def placed_facets(mesh: Mesh, facets: DataFrame) -> DataFrame:
     """(key, points) of facets by key."""
-    return with_points(facets.select("key"), "key", mesh.nodes, ["key"]).withColumnRenamed("key", "vertices")
+    return with_points(facets.select("key"), "key", mesh.nodes, ["key"], meta.DIM[mesh.cell_type]).withColumnRenamed("key", "vertices")
 
 
 def volume(tdim: int, gdim: int) -> Column:

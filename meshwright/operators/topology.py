@@ -76,9 +76,16 @@ def incident(pairs: DataFrame, some: DataFrame) -> DataFrame:
     return pairs.join(some.select("e0").distinct(), "e0", "left_semi").select("e1").distinct().orderBy("e1")
 
 
-def with_points(keys: DataFrame, vertices: str, nodes: DataFrame, by: list[str]) -> DataFrame:
-    """Rows by `by` with their vertices' coordinates, in order, as an array of structs `points`."""
+def with_points(keys: DataFrame, vertices: str, nodes: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """Rows by `by` with their vertices' coordinates, in order, as an array of structs `points`.
+
+    With a known number n of vertices, the coordinates are columns of a hash
+    aggregate, and expressions on `points` read these columns directly.
+    """
     each = keys.select(*by, F.posexplode(vertices).alias("pos", "node")).join(nodes, "node")
+    if n:
+        placed = each.groupBy(*by).agg(*(F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"__{c}{k}") for k in range(n) for c in "xyz"))
+        return placed.select(*by, F.array(*(F.struct(*(F.col(f"__{c}{k}").alias(c) for c in "xyz")) for k in range(n))).alias("points"))
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("points"))
 
 

@@ -326,9 +326,9 @@ def p1_stiffness(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(forms.assemble(forms.stiffness(), _square(spark)), "v")
 
 
-@query(f"{LOCAL} select s.n as i, t.n as j, round(sum(s.det * case when s.n = t.n then 2 else 1 end / 24), 12) as v from loc s join loc t on s.cell = t.cell group by 1, 2")
+@query(f"{LOCAL} select s.n as i, t.n as j, round(sum(s.det * case when s.n = t.n then 2 else 1 end / 24), 10) as v from loc s join loc t on s.cell = t.cell group by 1, 2")
 def p1_mass(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(forms.assemble(forms.mass(), _square(spark)), "v", digits=12)
+    return _rounded(forms.assemble(forms.mass(), _square(spark)), "v", digits=10)
 
 
 @query(f"{LOCAL} select n as i, round(sum(3 * det / 6), 12) as v from loc group by 1")
