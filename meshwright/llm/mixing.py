@@ -52,7 +52,7 @@ def apportion(parties: DataFrame, seats: Column, votes: str, among: list[str], o
     once; only the few quotients in doubt are listed and ranked.
     """
     group = W.partitionBy(*among)
-    known = parties.withColumn("__seats", seats).withColumn("__parties", F.count("*").over(group)).withColumn("__fair", F.col("__seats") * F.col(votes) / F.sum(votes).over(group))
+    known = parties.withColumn("__seats", seats).withColumn("__parties", F.count("*").over(group)).withColumn("__fair", F.try_divide(F.col("__seats") * F.col(votes), F.sum(votes).over(group)))
     known = known.withColumn("__fair", F.coalesce("__fair", F.lit(0.0)))
     half = F.col("__parties") / (F.lit(2.0) * F.greatest(F.col("__seats"), F.lit(1)))
     low = F.greatest(F.lit(0), F.floor(F.col("__fair") * (1 - half) + 0.5 - 1e-6))

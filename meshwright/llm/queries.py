@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import bpe, embedding_dedup, katz, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from meshwright.llm import bpe, embedding_dedup, katz, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, sql, suffix_dedup
 
 
 #: Installed on every executor with the tokenizer libraries.
@@ -75,4 +75,4 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_embeddings, op2_sainte_lague_mix, op3_repetition_coverage, op5_simhash_popcount_grid, op4_hash_tree, op6_license_paragraphs, op7_epsilon_grid_order, op8_suffix_deep_shallow, op9_katz_backoff, op10_bpe_chunk_reuse)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_repetition_coverage": sql.repetition_coverage(quality_rules.Rules()), "op7_epsilon_grid_order": sql.VECTOR_LINKS}
