@@ -18,15 +18,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Loops, repeated edges and both directions are allowed; edges with a null
     end are ignored. No neighbourhood is gathered: each round takes minima per
     node, which Spark combines before its shuffle, and joins them back to the
-    edges, where skewed nodes are split by adaptive execution.
+    edges. Both sides of these joins are checkpointed, so that each has a shuffle
+    of its own, and adaptive execution can split a node with very many edges.
     """
     edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before, now = None, _state(edges)
     while now != before:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(down.select("u", F.col("m").alias("v"))).distinct())
         before, now = now, _state(edges)
