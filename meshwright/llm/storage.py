@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,3 +42,12 @@ def store(df: DataFrame) -> str:
 def drop(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with a number __row of each, written once to the shared folder and read from there.
+
+    A number taken anew at each scan depends on how the scan splits its files,
+    which changes with the executors at hand.
+    """
+    return df.sparkSession.read.parquet(store(df.withColumn("__row", F.monotonically_increasing_id())))

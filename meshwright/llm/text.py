@@ -95,6 +95,20 @@ class Words:
         return np.bincount(self.doc, values, self.n_docs)
 
 
+def shingle_spans(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words joined by one space; text, first and end byte of each word n-gram, one of all words in a shorter text."""
+    lengths = words.ends - words.starts
+    after = np.zeros(len(words.data), bool)
+    after[words.ends] = True
+    joined = words.data[after | ~words.space]
+    joined[np.cumsum(lengths + 1) - 1] = 32
+    start = np.concatenate(([0], np.cumsum(lengths + 1)))
+    counts = np.minimum(words.counts, np.maximum(words.counts - n + 1, 1))  # shingles of each text
+    doc = np.repeat(np.arange(words.n_docs), counts)
+    at = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc] + (np.cumsum(words.counts) - words.counts)[doc]
+    return joined, doc, start[at], start[at + np.minimum(n, words.counts[doc])] - 1
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=out[1:])
