@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwright.llm.storage import cut
+from meshwright.llm.storage import cut, numbered
 
 WORD = "[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]++"
 
@@ -65,7 +65,7 @@ def apportion(parties: DataFrame, seats: Column, votes: str, among: list[str], o
     return won.groupBy(*keys).agg((F.first("__low") + F.sum("__won")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 512, most_shards: int = 4096, most_block: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 512, most_shards: int = 4096, most_block: int = 64, row_col: str | None = None) -> DataFrame:
     """One row per row of `docs`: row, id, source, size, source_size, target, taken.
 
     Weights go to the sources by code point, null last, over and over. A
@@ -73,10 +73,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     has; the excess goes to the others. taken counts words with repeats, and
     is at most `most` times a document's size. Null, empty and wordless texts
     have size 0 and nothing is taken of them; a source of only such has target
-    0. Ids may be null or repeated; equal rows are told apart by their place
-    in the scan. An empty table gives an empty table.
+    0. Ids may be null or repeated; equal rows are told apart by row, which is
+    row_col or their place in this scan. An empty table gives an empty table.
     """
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).select("row", "id", "source", n_words("text").alias("size")))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = cut(docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).select("row", "id", "source", n_words("text").alias("size")))
     draw = F.xxhash64(F.lit(seed), "id", "size", "row")
     sources = water_fill(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, most)
     block = F.least(F.lit(most_block), F.greatest(F.lit(1), F.floor(F.col("total") / 65_536))).cast("bigint")
@@ -102,12 +103,13 @@ def repeat_rows(docs: DataFrame, text_col: str = "text", n_chars_col: str | None
     Rows of which nothing is taken go; all columns stay. n_chars_col, where
     there is such a column, is counted anew.
     """
-    mixed = mix(docs, text_col=text_col, **options).select(F.col("row").alias("__row"), "size", "taken")
+    columns, docs = docs.columns, numbered(docs)
+    mixed = mix(docs, text_col=text_col, row_col="__row", **options).select(F.col("row").alias("__row"), "size", "taken")
     parts = mixed.where("taken > 0").select("__row", F.struct("size", "taken").alias("__mix"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(parts, "__row")
+    rows = docs.join(parts, "__row")
     # one entry a copy: null for a whole one, else the words of a part
     copies = F.expr("concat(array_repeat(cast(null as bigint), cast(__mix.taken div __mix.size as int)), if(__mix.taken % __mix.size > 0, array(__mix.taken % __mix.size), array()))")
     each = rows.withColumn("__part", F.explode(copies))
     part = F.expr(f"if(__part is null, `{text_col}`, regexp_extract(`{text_col}`, concat('^(?:[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]*+{WORD}){{', __part, '}}+'), 0))")
-    out = each.withColumn(text_col, part).drop("__row", "__mix", "__part").select(*docs.columns)
-    return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in docs.columns else out
+    out = each.withColumn(text_col, part).select(*columns)
+    return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in columns else out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwright.llm.storage import cut, drop, release, store
+from meshwright.llm.storage import cut, drop, numbered, release, store
 from meshwright.llm.suffix_sort import deep_shallow_sort
 from meshwright.llm.text import MIX, binary, mixed, prefix_hash, repeats, slices, span_hash
 
@@ -180,15 +180,15 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, group_most: int = GROUP_MOST) -> tuple[DataFrame, DataFrame]:
-    """(text key, first, end) of spans to remove from texts that occur once, which may overlap; and (text key, row, copies) of all texts.
+    """(row, first, end) of spans to remove from texts that occur once, which may overlap; and (text key, row, copies) of all texts.
 
-    The text key is a 64-bit hash; row is the place of one such text in the
-    scan of `docs`. Texts shorter than `length` bytes have no spans. Texts that
+    The text key is a 64-bit hash; row is the __row, which `docs` must have, of
+    one such text. Texts shorter than `length` bytes have no spans. Texts that
     occur more than once repeat as a whole and have no spans of their own.
     """
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(text_col).alias("tk"))
+    keyed = docs.select(F.col("__row").alias("row"), F.xxhash64(text_col).alias("tk"))
     known = cut(keyed.groupBy("tk").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
     path = store(texts.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "h long, c long, tk long, pos long"))
     found = spark.read.parquet(path)
@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     groups = cut(contexts.groupBy("h").agg(F.count("*").alias("n"), F.bool_and("twice").alias("done")).where("n > 1 and not done").select("h", "n"))
     open_ = contexts.join(groups, "h").join(known.select("tk", "row"), "tk")
     wanted = open_.groupBy("row").agg(F.collect_list(F.struct("h", "tk", "pos", "twice", "n")).alias("wanted"))
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(wanted, "row")
+    placed = docs.select(F.col("__row").alias("row"), F.col(text_col).alias("text")).join(wanted, "row")
     out_schema = "h long, tk long, pos long, twice boolean, before binary, after binary"
 
     def part(condition: str) -> DataFrame:
@@ -229,13 +229,14 @@ def _merged(firsts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """`docs` with __whole (the text repeats as a whole) and __spans (to remove otherwise), joined by place in the scan."""
+    """`docs` with __whole (the text repeats as a whole) and __spans (to remove otherwise), joined by the numbers of rows written once."""
+    columns, docs = docs.columns, numbered(docs)
     spans, known = repeated_spans(docs, text_col, length)
     some = spans.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("__spans")).select(F.col("row").alias("__row"), "__spans", F.lit(False).alias("__whole"))
-    long_texts = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+    long_texts = docs.select("__row", F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
     copies = long_texts.select("__row", F.xxhash64("text").alias("tk")).join(known.where("copies > 1").select("tk"), "tk", "left_semi")
     marks = some.unionByName(copies.select("__row", F.lit(True).alias("__whole")), allowMissingColumns=True)
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(marks, "__row", "left").drop("__row")
+    return docs.join(marks, "__row", "left").select(*columns, "__spans", "__whole")
 
 
 def _kept(text: bytes, whole: bool, spans: pa.Scalar) -> tuple[bytes, int]:
