@@ -97,14 +97,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     return rows.select("row", "id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("bigint").alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", **options) -> DataFrame:
+def repeat_rows(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", whole: bool = False, **options) -> DataFrame:
     """`docs` as the mix takes them: a row for each whole time, and the part of a text that is taken beyond, as its first words.
 
+    With `whole` no text is cut: a part of half a text or more becomes a whole
+    copy, a smaller one none. A (source, shard) has one part at most, so its
+    words are off by no more than half a document.
+
     Rows of which nothing is taken go; all columns stay. n_chars_col, where
     there is such a column, is counted anew.
     """
     columns, docs = docs.columns, numbered(docs)
     mixed = mix(docs, text_col=text_col, row_col="__row", **options).select(F.col("row").alias("__row"), "size", "taken")
+    if whole:
+        mixed = mixed.withColumn("taken", F.expr("if(size > 0, (2 * taken + size) div (2 * size) * size, 0)"))
     parts = mixed.where("taken > 0").select("__row", F.struct("size", "taken").alias("__mix"))
     rows = docs.join(parts, "__row")
     # one entry a copy: null for a whole one, else the words of a part
