@@ -2,18 +2,21 @@
 
 A rolling hash over the last bytes cuts texts into chunks at places that
 depend on content alone, so passages that documents share fall into equal
-chunks. The distinct chunks of a run of documents are tokenised once. Where a
-cut falls between two white-space bytes or beside one, the tokens of both
-sides stand; where it splits a word, the join is repaired: the span encoded
-anew grows to the nearest white space on both sides, beyond which the
-tokenizer's own split guarantees that tokens agree. Words of chunks and joins
-are encoded once per run as well.
+chunks. A task encodes each distinct chunk once and keeps its ids for as long
+as they fit. Where a cut splits a word, the join is repaired: the text from
+some words before the split word to some words after it is encoded anew, and
+takes the place of the chunks' own ids between tokens on which both agree, the
+last that ends a word before the split one and the first that follows a word's
+end after it. If they don't agree, more words are looked at, in the end the
+whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,20 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from meshwright.llm.text import BASE_INVERSE, SPACE, mixed, powers, prefix_hash, slices, span_hash
+from meshwright.llm.text import BASE_INVERSE, CONTINUES, SPACE, powers, prefix_hash, slices
 
 SLICE_BYTES = 2_000_000
-#: Words whose codes a task keeps for its next runs of documents.
-WORDS_KEPT = 300_000
+#: Bytes of chunks and their ids that a task keeps for its next texts.
+KEPT_BYTES = 96_000_000
 #: Bytes the rolling hash looks back on, and the mean length of a chunk as a power of two.
-WINDOW, CHUNK_BITS = 12, 7
+WINDOW, CHUNK_BITS = 12, 12
+#: Words beside a split one that are looked at for agreement, in turn; then the whole text is encoded.
+CONTEXTS = (1, 4, 16)
+
+
+def _without_idle_step(path: str) -> str:
+    """The tokenizer's description without a normalizer that turns runs of white space into a space, if its words never hold white space.
+
+    That step takes a sixth of the time. Words never hold any if they are what a pattern matches in which `\\s` stands in negated sets only.
+    """
+    with open(path, encoding="utf-8") as f:
+        text = json.load(f)
+    splits = (text.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    pattern = (splits[0].get("pattern") or {}).get("Regex", ".")
+    matched = splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+    if matched and not re.search(r"\\[sWDPX]| |\.|\[\^", pattern.replace("[^\\s", "")):
+        steps = (text.get("normalizer") or {}).get("normalizers") or []
+        idle = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        if idle in steps:
+            text["normalizer"]["normalizers"] = [x for x in steps if x != idle]
+    return json.dumps(text)
 
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str) -> tuple[Tokenizer, list[str]]:
-    """The tokenizer without truncation and padding, and its token strings by id."""
+    """The tokenizer without truncation and padding, and its token strings by id; a string that ends a word ends in `</w>`."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str(_without_idle_step(path))
     tokenizer.no_truncation()
     tokenizer.no_padding()
     strings = [""] * tokenizer.get_vocab_size(with_added_tokens=True)
@@ -46,89 +69,138 @@ def _tokenizer(path: str) -> tuple[Tokenizer, list[str]]:
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where chunks start: at every text, and after every WINDOW bytes whose hash ends in CHUNK_BITS zeros."""
+    """Where chunks start: at every text, and at the first character after every WINDOW bytes whose hash ends in CHUNK_BITS zeros."""
     n = len(data)
-    starts = np.zeros(n + 1, bool)
+    starts = np.zeros(n + 4, bool)
     starts[offsets[:-1]] = True
     if n >= WINDOW:
         prefix, at = prefix_hash(data), np.arange(n - WINDOW + 1)
         rolling = (prefix[WINDOW:] - prefix[:-WINDOW]) * powers(BASE_INVERSE, n + 1)[at]
-        starts[np.flatnonzero(rolling >> np.uint64(64 - CHUNK_BITS) == 0) + WINDOW] = True
+        cuts = np.flatnonzero(rolling >> np.uint64(64 - CHUNK_BITS) == 0) + WINDOW
+        inside = np.append(CONTINUES[data], [False] * 4)
+        for _ in range(3):  # no cut goes through a character
+            cuts = cuts + inside[cuts]
+        starts[cuts] = True
     return np.flatnonzero(starts[:n])
 
 
-def _distinct(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First of each distinct span, and for each span the number of its distinct one; spans are told apart by a 64-bit hash and their length."""
-    again = mixed(span_hash(prefix, starts, ends) ^ np.uint64(0x5851F42D4C957F2D)) + (ends - starts).astype(np.uint64)
-    _, first, inverse = np.unique(again, return_index=True, return_inverse=True)
-    return first, inverse
-
-
-class WordCodes:
-    """Ids and decoded tokens of words, each encoded once."""
+class ChunkCodes:
+    """Ids of strings, each encoded once while it is kept."""
 
     def __init__(self, path: str):
         self.tokenizer, self.strings = _tokenizer(path)
-        self.number: dict[bytes, int] = {}
-        self.ids: list[bytes] = []
-        self.decoded: list[bytes] = []
+        self.ends_word = np.array([w.endswith("</w>") for w in self.strings])
+        self.kept: dict[bytes, np.ndarray] = {}
+        self.size = 0
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = list({w: None for w in words if w not in self.number})
-        for encoding, word in zip(self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), new, strict=True):
-            self.number[word] = len(self.ids)
-            self.ids.append(np.array(encoding.ids, "<u4").tobytes())
-            self.decoded.append("".join(self.strings[i] + " " for i in encoding.ids).encode())
-        return np.array([self.number[w] for w in words], np.int64)
+    def fresh(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.size > KEPT_BYTES:
+            self.kept, self.size = {}, 0
+        new = list({t: None for t in texts if t not in self.kept})
+        for t, ids in zip(new, self.fresh(new), strict=True):
+            self.kept[t] = ids
+            self.size += len(t) + ids.nbytes + 200
+        return [self.kept[t] for t in texts]
 
-def encode_slice(data: np.ndarray, offsets: np.ndarray, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """For each text in turn the numbers (in `codes`) of the pieces its tokens come from, and where each text's begin.
 
-    Chunks give the words that lie whole in them; a word that a cut splits is a
-    join, encoded on its own.
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the common prefix of two id arrays."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _agreed(chunk: np.ndarray, edge: np.ndarray, anew: np.ndarray, whole: bool, ends: np.ndarray) -> tuple[int, int] | None:
+    """How many ids of the left chunk stay, and from which id of the span encoded anew it goes on.
+
+    edge: ids of the part of the chunk that the span has too; whole: the chunk has nothing before it.
     """
+    own = len(edge) - _alike(edge[::-1], chunk[::-1])  # from here on the edge's ids are the chunk's
+    common = _alike(edge, anew)
+    while common > own and not ends[edge[common - 1]]:
+        common -= 1
+    if common > own or (whole and own == 0):
+        common = max(common, own)
+        return len(chunk) - len(edge) + common, common
+    return None
+
+
+def _agreed_after(chunk: np.ndarray, edge: np.ndarray, anew: np.ndarray, whole: bool, ends: np.ndarray) -> tuple[int, int] | None:
+    """How many of the first ids of the right chunk go, and how many of the last ids of the span encoded anew."""
+    own = _alike(edge, chunk)  # so many ids of the edge are the chunk's
+    common = _alike(edge[::-1], anew[::-1])
+    first = len(edge) - common
+    while first < own and not (first and ends[edge[first - 1]]):
+        first += 1
+    if first < own or (whole and own == len(edge)):
+        return first, len(edge) - first
+    return None
+
+
+def encode_slice(data: np.ndarray, offsets: np.ndarray, codes: ChunkCodes) -> list[np.ndarray]:
+    """The ids of each text of a slice."""
     n, n_docs = len(data), len(offsets) - 1
+    none = np.zeros(0, np.uint32)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(n_docs + 1, np.int64)
-    prefix = prefix_hash(data)
-    space = np.ones(n + 2, bool)  # space[i + 1] is of byte i; texts are set apart below
+        return [none] * n_docs
+    text = data.tobytes()
+    space = np.ones(n + 2, bool)  # space[i + 1] is of byte i
     space[1:-1] = SPACE[data]
     opens = np.zeros(n + 1, bool)
     opens[offsets] = True  # no word goes on across the start of a text
-    starts = np.flatnonzero(~space[1:-1] & (space[:-2] | opens[:-1]))
-    ends = np.flatnonzero(~space[1:-1] & (space[2:] | opens[1:])) + 1
-    chunk = chunk_starts(data, offsets)
-    chunk_end = np.append(chunk[1:], n)
-    in_chunk = np.searchsorted(chunk, starts, "right") - 1
-    joined = ends > chunk_end[in_chunk]  # split by a cut
-    # a chunk's own words are those whole in it; equal chunks have equal ones but for words that a cut splits at either side
-    own = ~joined
-    head = np.concatenate(([0], np.cumsum(own)))
-    first_word, last_word = np.searchsorted(starts, chunk), np.searchsorted(starts, chunk_end)
-    a, b = head[first_word], head[last_word]
-    own_start, own_end = starts[own], ends[own]
-    # the part of the chunk that its own words span tells it from others
-    some = np.flatnonzero(b > a)
-    inner_start, inner_end = own_start[a[some]], own_end[b[some] - 1]
-    first, inverse = _distinct(data, prefix, inner_start, inner_end)
-    fresh = some[first]  # the chunks to tokenise
-    count = (b - a)[fresh]
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a[fresh], count)
-    word_start, word_end = np.concatenate((own_start[at], starts[joined])), np.concatenate((own_end[at], ends[joined]))
-    once, which = _distinct(data, prefix, word_start, word_end)
-    text = data.tobytes()
-    number = codes.numbers([text[s:e] for s, e in zip(word_start[once].tolist(), word_end[once].tolist(), strict=True)])[which]
-    # put chunks and joins together again
-    out = np.empty(len(starts), np.int64)
-    out[joined] = number[count.sum() :]
-    own_out = np.empty(len(own_start), np.int64)
-    begin = (np.cumsum(count) - count)[inverse]
-    size = (b - a)[some]
-    source = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-    own_out[:] = number[: count.sum()][source]
-    out[own] = own_out
-    return out, np.searchsorted(starts, offsets)
+    first = np.flatnonzero(~space[1:-1] & (space[:-2] | opens[:-1]))  # of each word, and its end
+    end = np.flatnonzero(~space[1:-1] & (space[2:] | opens[1:])) + 1
+    start = chunk_starts(data, offsets)
+    stop = np.append(start[1:], n)
+    chunks = codes.ids([text[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+    # joins: words that a cut splits, with the chunks they begin and end in
+    a, b = np.searchsorted(start, first, "right") - 1, np.searchsorted(start, end - 1, "right") - 1
+    split = np.flatnonzero(a < b)
+    head, tail = {}, {}  # of chunks: ids that stay up to a join, and from one on; of a join: its ids
+    middle: dict[int, np.ndarray] = {}
+    swallowed = np.zeros(len(start), bool)
+    open_ = split.tolist()
+    for words in CONTEXTS:
+        if not open_:
+            break
+        spans = []
+        for w in open_:
+            i, j = int(a[w]), int(b[w])
+            before, after = w, w
+            while before > 0 and w - before < words and first[before - 1] >= start[i]:
+                before -= 1
+            while after + 1 < len(first) and after - w < words and end[after + 1] <= stop[j]:
+                after += 1
+            spans.append((w, i, j, int(first[before]), int(end[after]), before > 0 and first[before - 1] >= start[i], after + 1 < len(first) and first[after + 1] < stop[j]))
+        encoded = codes.fresh([x for w, i, j, p, q, *_ in spans for x in (text[p : stop[i]], text[start[j] : q], text[p:q])])
+        open_ = []
+        for k, (w, i, j, _, _, more_before, more_after) in enumerate(spans):
+            left, right, anew = encoded[3 * k : 3 * k + 3]
+            x = _agreed(chunks[i], left, anew, not more_before, codes.ends_word)
+            y = _agreed_after(chunks[j], right, anew, not more_after, codes.ends_word)
+            if x is None or y is None or x[1] > len(anew) - y[1]:
+                open_.append(w)
+                continue
+            head[i], tail[j], middle[i] = x[0], y[0], anew[x[1] : len(anew) - y[1]]
+            swallowed[i + 1 : j] = True
+    doc_first = np.searchsorted(start, offsets)
+    out = []
+    again = set((np.searchsorted(offsets, first[open_], "right") - 1).tolist())
+    for d in range(n_docs):
+        if d in again:
+            out += codes.fresh([text[offsets[d] : offsets[d + 1]]])
+            continue
+        parts = []
+        for c in range(int(doc_first[d]), int(doc_first[d + 1])):
+            if not swallowed[c]:
+                parts.append(chunks[c][tail.get(c, 0) : head.get(c)])
+            if c in middle:
+                parts.append(middle[c])
+        out.append(np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else none)
+    return out
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -147,19 +219,15 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = T.StructType(fields)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(tokenizer_path)
+        codes = ChunkCodes(tokenizer_path)
+        strings = np.array(codes.strings, object)
         for batch in batches:
             for row, end, data, offsets in slices(batch.column(1), SLICE_BYTES):
-                if len(codes.ids) > WORDS_KEPT:
-                    codes = WordCodes(tokenizer_path)
-                numbers, bounds = encode_slice(data, offsets, codes)
-                ids_of, decoded_of = np.array([*codes.ids, b""], object), np.array([*codes.decoded, b""], object)
                 rows = []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = numbers[a:b]
-                    ids, decoded = b"".join(ids_of[own].tolist()), b"".join(decoded_of[own].tolist())[:-1]
-                    found = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                    rows.append([*found, np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode()] if with_ids else found)
+                for ids in encode_slice(data, offsets, codes):
+                    decoded = " ".join(strings[ids].tolist()).encode()
+                    found = [len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                    rows.append([*found, ids.astype(np.int32), decoded.decode()] if with_ids else found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), *(pa.array(x, f) for x, f in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()), strict=False))], names=schema.names)
 
     return source.mapInArrow(encoded, schema)

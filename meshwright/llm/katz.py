@@ -34,8 +34,8 @@ from meshwright.llm.storage import cut, drop, release, store
 from meshwright.llm.text import Words, slices, span_hash
 
 SLICE_BYTES = 1_000_000
-#: Tokens of a block, but for a longer text; counts up to CUT are discounted.
-BLOCK_TOKENS, CUT = 2_000_000, 5
+#: Tokens of a block, but for a longer text; counts up to CUT are discounted; bytes of text for each part of the vocabulary.
+BLOCK_TOKENS, CUT, PART_BYTES = 2_000_000, 5, 16_000_000
 END = np.uint64(1)  # the hash that stands for the end of a text
 UNKNOWN, START = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)  # places in a part of the vocabulary
 ROW = "block long, part int, data binary"
@@ -49,7 +49,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> list[np.ndarray]:
     planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for t, b in planes]
+    return [np.array(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T, order="C").view(t).ravel() for t, b in planes]
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def backoff(total: np.ndarray, by_count: np.ndarray, seen: np.ndarray, discounts
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Parts by ranges of hashes, so that sorted hashes have sorted parts."""
-    return ((hashes >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _token_blocks(parts: int):

@@ -2,12 +2,15 @@
 
 The words of all documents, cut into equal blocks, are seats; sources are
 parties. Seats go to the highest quotients target / (2k + 1); each source's
-seats go in the same way to its shards, by their sizes. In a shard the
-documents stand in a seeded order and its blocks are taken from the front,
-round and round until its quota is met.
+seats go in the same way to its groups of shards, and on from group to group
+down to shards, by their sizes. In a shard the documents stand in a seeded
+order, a line of words that is cut into blocks. All blocks are taken as often
+as the quota holds them all; what is left of it are blocks drawn by a seeded
+permutation.
 
 Only DataFrame operations are used. All that is gathered in one place is a row
-per source; documents are only shuffled by (source, shard).
+per source, and a row for each of at most FANOUT parts of a group; documents
+are only shuffled by (source, shard).
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 
 from meshwright.llm.storage import cut, numbered
 
+#: Parts of a group of shards.
+FANOUT = 256
+#: Primes above any number of blocks in a shard; the multiplier of a shard's permutation is one of them.
+PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563)
 WORD = "[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]++"
 
 
@@ -65,57 +72,73 @@ def apportion(parties: DataFrame, seats: Column, votes: str, among: list[str], o
     return won.groupBy(*keys).agg((F.first("__low") + F.sum("__won")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 512, most_shards: int = 4096, most_block: int = 64, row_col: str | None = None) -> DataFrame:
-    """One row per row of `docs`: row, id, source, size, source_size, target, taken.
+def _quotas(cells: DataFrame, plan: DataFrame, depth: int) -> DataFrame:
+    """Adds quota to (source, shard, cell_size): each source's seats, handed down from groups of shards to shards in `depth` steps."""
+    above = plan.select("s", F.lit(0).cast("bigint").alias("k"), F.col("source_quota").alias("seats"))
+    for level in reversed(range(depth)):
+        size = F.lit(FANOUT**level)
+        parts = cells.groupBy("source", F.floor(F.col("shard") / size).alias("part")).agg(F.sum("cell_size").alias("part_size"))
+        parts = parts.withColumn("group", F.floor(F.col("part") / FANOUT) if level < depth - 1 else F.lit(0).cast("bigint"))
+        parts = parts.join(above, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("k"))).drop("s", "k")
+        given = apportion(parts, F.col("seats"), "part_size", ["source", "group"], [F.col("part")])
+        above = given.select(F.col("source").alias("s"), F.col("part").alias("k"), F.col("quota").alias("seats"))
+    return cells.join(above, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k"))).drop("s", "k").withColumnRenamed("seats", "quota")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 512, most_block: int = 64, row_col: str | None = None, scatter: bool = True) -> DataFrame:
+    """One row per row of `docs`: row (row_col, else null), id, source, size, source_size, target, taken.
 
     Weights go to the sources by code point, null last, over and over. A
     source's target is its share of all words, at most `most` times what it
     has; the excess goes to the others. taken counts words with repeats, and
     is at most `most` times a document's size. Null, empty and wordless texts
     have size 0 and nothing is taken of them; a source of only such has target
-    0. Ids may be null or repeated; equal rows are told apart by row, which is
-    row_col or their place in this scan. An empty table gives an empty table.
+    0. Ids may be null or repeated. Draws depend on what is in a row, never on
+    its place, so reruns agree; rows that are alike in all columns are one as
+    good as the other. An empty table gives an empty table.
+
+    Without `scatter`, a shard's blocks are those at the front of its line, so
+    that at most one document of a shard is taken in part.
     """
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    sized = cut(docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).select("row", "id", "source", n_words("text").alias("size")))
-    draw = F.xxhash64(F.lit(seed), "id", "size", "row")
+    content = [f.name for f in docs.schema if f.name != row_col and "map" not in f.dataType.simpleString()]
+    columns = [F.col(row_col) if row_col else F.lit(None).cast("bigint"), F.col(id_col), F.col(source_col), n_words(f"`{text_col}`"), F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in content))]
+    sized = cut(docs.select(*(c.alias(n) for c, n in zip(columns, ("row", "id", "source", "size", "draw"), strict=True))))
     sources = water_fill(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, most)
     block = F.least(F.lit(most_block), F.greatest(F.lit(1), F.floor(F.col("total") / 65_536))).cast("bigint")
-    sources = sources.withColumn("block", block).withColumn("seats", F.round(F.col("total") / F.col("block")).cast("bigint")).withColumn("shards", F.least(F.lit(most_shards), F.ceil(F.col("rows") / shard_rows)).cast("int"))
+    sources = sources.withColumn("block", block).withColumn("seats", F.round(F.col("total") / F.col("block")).cast("bigint")).withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("bigint"))
     sources = cut(apportion(sources, F.col("seats"), "target", ["total"], [F.col("source").asc_nulls_last()]).withColumnRenamed("size", "source_size").withColumnRenamed("quota", "source_quota"))
     plan = sources.select(F.col("source").alias("s"), "source_size", "target", "block", "shards", "source_quota")
-    placed = sized.join(plan.select("s", "shards"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("draw", draw).withColumn("shard", F.pmod("draw", F.col("shards")).cast("int"))
+    widest, depth = sources.agg(F.max("shards")).first()[0] or 1, 1
+    while FANOUT**depth < widest:
+        depth += 1
+    placed = sized.join(plan.select("s", "shards"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", F.pmod("draw", F.col("shards")))
     placed = cut(placed.select("row", "id", "source", "size", "draw", "shard"))
-    cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")).join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    quotas = apportion(cells, F.col("source_quota"), "cell_size", ["source"], [F.col("shard")])
-    quotas = quotas.select(F.col("source").alias("s"), F.col("shard").alias("k"), "cell_size", "source_size", "target", F.least(F.col("quota") * F.col("block"), F.col("cell_size") * most).alias("take"))
-    line = W.partitionBy("source", "shard").orderBy("draw", "row").rowsBetween(W.unboundedPreceding, -1)
+    cells = cut(placed.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")))
+    quotas = _quotas(cells, plan, depth).join(plan.select("s", "source_size", "target", "block"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    quotas = quotas.select(F.col("source").alias("s"), F.col("shard").alias("k"), "cell_size", "source_size", "target", "block", F.least(F.col("quota") * F.col("block"), F.col("cell_size") * most).alias("take"))
+    quotas = quotas.selectExpr("*", "if(cell_size > 0, take div cell_size, 0) as rounds", "if(cell_size > 0, take % cell_size, 0) as rest", "greatest(1, cell_size div block) as blocks")
+    drawn = F.xxhash64(F.lit(seed), "s", "k")
+    prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(drawn, F.lit(len(PRIMES))) + 1).cast("int"))
+    quotas = quotas.withColumn("by", prime if scatter else F.lit(1)).withColumn("shift", F.pmod(F.shiftright(drawn, 8), F.col("blocks")) if scatter else F.lit(0))
+    line = W.partitionBy("source", "shard").orderBy("draw", "size", "id", "row").rowsBetween(W.unboundedPreceding, -1)
     rows = placed.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
-    rounds = F.expr("if(cell_size > 0, take div cell_size, 0)")
-    front = F.expr("if(cell_size > 0, take % cell_size, 0)")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), front - F.col("before")))
-    return rows.select("row", "id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("bigint").alias("taken"))
-
+    # block j stands at (j * by + shift) % blocks of the drawn order: those before place rest div block are taken whole, the next one's first words are the remainder
+    place = "(if(j < blocks, (j * by + shift) % blocks, blocks))"
+    words = f"if({place} < rest div block, block, if({place} = rest div block, rest % block, 0))"
+    of_block = f"greatest(0, least(before + size, j * block + {words}) - greatest(before, j * block))"
+    part = f"if(size > 0 and rest > 0, aggregate(sequence(before div block, (before + size - 1) div block), 0L, (sum, j) -> sum + {of_block}), 0L)"
+    return rows.selectExpr("row", "id", "source", "size", "source_size", "cast(target as double) as target", f"cast(rounds * size + {part} as bigint) as taken")
 
-def repeat_rows(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", whole: bool = False, **options) -> DataFrame:
-    """`docs` as the mix takes them: a row for each whole time, and the part of a text that is taken beyond, as its first words.
 
-    With `whole` no text is cut: a part of half a text or more becomes a whole
-    copy, a smaller one none. A (source, shard) has one part at most, so its
-    words are off by no more than half a document.
+def repeat_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """`docs` as the mix takes them, each row as often as it is taken whole; all columns stay.
 
-    Rows of which nothing is taken go; all columns stay. n_chars_col, where
-    there is such a column, is counted anew.
+    No text is cut: a part of half a text or more becomes a whole copy, a
+    smaller one none. A shard has one part at most, so its words are off by no
+    more than half a document. Rows of which nothing is taken go. An empty
+    table gives an empty table.
     """
     columns, docs = docs.columns, numbered(docs)
-    mixed = mix(docs, text_col=text_col, row_col="__row", **options).select(F.col("row").alias("__row"), "size", "taken")
-    if whole:
-        mixed = mixed.withColumn("taken", F.expr("if(size > 0, (2 * taken + size) div (2 * size) * size, 0)"))
-    parts = mixed.where("taken > 0").select("__row", F.struct("size", "taken").alias("__mix"))
-    rows = docs.join(parts, "__row")
-    # one entry a copy: null for a whole one, else the words of a part
-    copies = F.expr("concat(array_repeat(cast(null as bigint), cast(__mix.taken div __mix.size as int)), if(__mix.taken % __mix.size > 0, array(__mix.taken % __mix.size), array()))")
-    each = rows.withColumn("__part", F.explode(copies))
-    part = F.expr(f"if(__part is null, `{text_col}`, regexp_extract(`{text_col}`, concat('^(?:[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]*+{WORD}){{', __part, '}}+'), 0))")
-    out = each.withColumn(text_col, part).select(*columns)
-    return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in columns else out
+    mixed = mix(docs, text_col=text_col, row_col="__row", scatter=False, **options).select(F.col("row").alias("__row"), "size", "taken")
+    copies = mixed.selectExpr("__row", "if(size > 0, (2 * taken + size) div (2 * size), 0) as __copies").where("__copies > 0")
+    return docs.join(copies, "__row").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*columns)

@@ -1,6 +1,6 @@
 """A quality classifier by supervised subword embeddings.
 
-Each word and each run of 3 to 5 bytes within a word (its borders included) is
+Each word and each run of 3 to 5 characters within a word (its borders included) is
 hashed to a row of a table of learned vectors, and a word that repeats the one
 before it has a row of its own; a document is the mean of its
 vectors, and a softmax over a linear layer gives the class. Training is plain
@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwright.llm.text import Words, prefix_hash, slices, span_hash
+from meshwright.llm.text import CONTINUES, Words, prefix_hash, slices, span_hash
 
 SLICE_BYTES = 500_000
 #: The table row of a word that is the word before once more.
@@ -59,13 +59,14 @@ def features(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> Itera
     yield (word >> shift).astype(np.int64), np.concatenate(([0], np.cumsum(words.counts)))
     again = np.flatnonzero((word[1:] == word[:-1]) & (words.doc[1:] == words.doc[:-1])) + 1
     yield np.full(len(again), AGAIN, np.int64), np.searchsorted(again, np.concatenate(([0], np.cumsum(words.counts))))
-    spaces = np.concatenate(([0], np.cumsum(words.space)))
+    chars = np.flatnonzero(~CONTINUES[plain])  # where characters start
+    bounds = np.append(chars, len(plain))
+    spaces = np.concatenate(([0], np.cumsum(words.space[chars])))
     for n in settings.ngrams:
-        at = np.arange(max(0, len(plain) - n + 1))
-        inside = spaces[at + n - 1] == spaces[at + 1]  # only the first and the last byte may be a border
-        at = at[inside]
-        rows = (span_hash(prefix, at, at + n) >> shift).astype(np.int64)
-        yield rows, np.searchsorted(at, np.concatenate((words.first - 1, [len(plain) - 1])))
+        k = np.arange(max(0, len(chars) - n + 1))
+        k = k[spaces[k + n - 1] == spaces[k + 1]]  # only the first and the last character may be a border
+        rows = (span_hash(prefix, chars[k], bounds[k + n]) >> shift).astype(np.int64)
+        yield rows, np.searchsorted(chars[k], np.concatenate((words.first - 1, [len(plain) - 1])))
 
 
 @dataclass
@@ -136,7 +137,12 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> list:
-    """Up to fit_docs labelled documents within fit_bytes, in the order of a hash of their ids."""
+    """Up to fit_docs labelled documents within fit_bytes, in the order of a hash of their ids.
+
+    Labels other than 0 and 1, null ones too, and labels of null ids are left
+    out. An id with both labels counts as label 1. A null text is left out.
+    Empty tables give an empty sample.
+    """
     draw = F.xxhash64(F.lit(settings.seed), id_col)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     chosen = known.orderBy(draw, id_col).limit(settings.fit_docs)

@@ -50,7 +50,7 @@ def op1_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = quality_classifier.labelled_sample(docs, labels.where(rest != 0), settings, "doc_id", "text", "quality")
     model = quality_classifier.train([r[0] for r in sample], [r[1] for r in sample], settings)
     scored = quality_classifier.score_documents(docs, model)
-    return scored.select("doc_id", (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

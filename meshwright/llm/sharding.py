@@ -37,32 +37,45 @@ def layout(n_shards: int, base: int = 24, per_rack: int = 4, racks: int = 2) ->
     return tree
 
 
-def _draw(key: Column, children: dict[str, tuple[float, Column]], seed: int) -> Column:
-    """The value of the child with the least draw, or null if none has weight."""
-    some = {name: (w, value) for name, (w, value) in children.items() if w > 0}
-    if len(some) == 1:
-        return next(iter(some.values()))[1]
+def _drawn(key: Column, children: Column, seed: int) -> Column:
+    """The node of the child (name, weight, node) with the least draw."""
 
-    def exponential(name: str, weight: float) -> Column:
-        uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(name), key), 11).cast("double") + 0.5) / 2.0**53
-        return -F.log(uniform) / F.lit(float(weight))
+    def exponential(child: Column) -> Column:
+        uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), child["name"], key), 11).cast("double") + 0.5) / 2.0**53
+        return F.struct((-F.log(uniform) / child["weight"]).alias("draw"), child["node"].alias("node"))
 
-    draws = [F.struct(exponential(name, w).alias("draw"), F.lit(i).alias("child")) for i, (name, (w, _)) in enumerate(some.items())]
-    won = F.least(*draws)["child"] if draws else F.lit(None)
-    values = [value for _, value in some.values()]
-    return F.element_at(F.array(*values), won + 1) if draws else F.lit(None).cast("int")
+    return F.array_min(F.transform(children, exponential))["node"]
+
+
+def _children(some: list[tuple[str, float, int]]) -> Column:
+    return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(node).alias("node")) for name, weight, node in some))
 
 
 def assign(key: Column, tree: Tree, seed: int = 7) -> Column:
-    """The shard of a key: region, rack and shard are drawn in turn.
+    """The shard of a key: its region is drawn, then a rack among that region's, then a shard among that rack's.
 
-    Equal keys, null ones too, get equal shards.
+    Only the children of the node at hand are drawn. Equal keys, null ones too,
+    get equal shards. Subtrees without weight get none; a tree without weight
+    gives null.
     """
-    regions = {}
-    for region, racks in tree.items():
-        drawn = {rack: (sum(shards.values()), _draw(key, {f"{region}/{rack}/{s}": (w, F.lit(s)) for s, w in shards.items()}, seed)) for rack, shards in racks.items()}
-        regions[region] = (sum(w for w, _ in drawn.values()), _draw(key, {f"{region}/{rack}": x for rack, x in drawn.items()}, seed))
-    return _draw(key, regions, seed).cast("int")
+    regions: list[tuple[str, float, int]] = []
+    racks: list[list[tuple[str, float, int]]] = []  # of each region
+    shards: list[list[tuple[str, float, int]]] = []  # of each rack
+    for region, inside in tree.items():
+        own = []
+        for rack, leaves in inside.items():
+            some = [(f"{region}/{rack}/{s}", w, s) for s, w in leaves.items() if w > 0]
+            if some:
+                own.append((f"{region}/{rack}", sum(w for _, w, _ in some), len(shards)))
+                shards.append(some)
+        if own:
+            regions.append((region, sum(w for _, w, _ in own), len(racks)))
+            racks.append(own)
+    if not regions:
+        return F.lit(None).cast("int")
+    region = _drawn(key, _children(regions), seed)
+    rack = _drawn(key, F.element_at(F.array(*map(_children, racks)), region + 1), seed)
+    return _drawn(key, F.element_at(F.array(*map(_children, shards)), rack + 1), seed).cast("int")
 
 
 def numbered(rows: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:

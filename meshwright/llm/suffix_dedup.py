@@ -1,7 +1,7 @@
 """Removal of long byte strings that occur more than once, by sorting suffixes deep-shallow.
 
 A window is a byte string of the given length (400). The least hash among the
-seeds (128-byte strings) of a window is its anchor; it depends on the window's
+seeds (strings of a third of that length, 128 bytes at most) of a window is its anchor; it depends on the window's
 bytes alone, so equal windows have equal anchors at the same place in them.
 Each anchor owns the consecutive windows it is the least of; the bytes of
 these are its context. Only contexts whose anchor occurs elsewhere go on:
@@ -33,13 +33,17 @@ from meshwright.llm.storage import cut, drop, numbered, release, store
 from meshwright.llm.suffix_sort import deep_shallow_sort
 from meshwright.llm.text import MIX, binary, mixed, prefix_hash, repeats, slices, span_hash
 
-SEED = 128
 SLICE_BYTES = 500_000
 #: Contexts of whole groups that are sorted at a time, and the largest group that is.
 SORT_AT_ONCE, GROUP_MOST = 16_000, 50_000
 LOW = np.uint64(0xFFFFFFFF)
 
 
+def seed_of(length: int) -> int:
+    """Bytes of an anchor."""
+    return max(1, min(128, length // 3))
+
+
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive values, by running minima from both ends of blocks."""
     out = len(values) - width + 1
@@ -49,9 +53,9 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:out], ahead[width - 1 : width - 1 + out])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = SEED) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For each anchor: text, hash, hash of its context, first and last window start and the anchor's place in the text."""
-    n = len(data)
+    n, seed = len(data), seed_of(length)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     prefix = prefix_hash(data)
@@ -110,7 +114,7 @@ def _context_rows(length: int):
 
 def repeated_windows(group: np.ndarray, pos: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context the fewest and the most bytes before its anchor at which a window starts that another context has too; -1 if none."""
-    n, span = len(group), length - SEED
+    n, span = len(group), length - seed_of(length)
     right, right_common = deep_shallow_sort(group, after, length)
     left, left_common = deep_shallow_sort(group, before, span)
     right_rank, left_rank = np.empty(n, np.int64), np.empty(n, np.int64)

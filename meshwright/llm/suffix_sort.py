@@ -1,7 +1,10 @@
 """Deep-shallow sorting of byte strings within groups.
 
-Strings are first ordered by multikey quicksort, a word of 8 bytes at a time,
-to a shallow depth; the groups that still tie there share a long prefix and
+Strings are first ordered by multikey quicksort to a shallow depth: a group is
+parted by a pivot into strings whose word (8 bytes) at the depth at hand is
+less, equal or greater; the equal ones go on a word deeper, the others at the
+same depth. All groups are parted at once, a round for each level of parting.
+The groups that still tie at the shallow depth share a long prefix and
 are ordered by a blind trie each: a binary trie that keeps only the positions
 of the bits where strings branch, so that a string is compared in full with
 one other string only.
@@ -68,41 +71,57 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return len(a) - (differing.bit_length() + 7) // 8
 
 
+def multikey_quicksort(order: np.ndarray, words: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Sorts `order` in place within the parts given by first and size, by rows of words; returns (first, size) of the parts that tie in all words."""
+    depth = np.zeros(len(first), np.int64)
+    ties: list[tuple[int, int]] = []
+    while True:
+        deep = depth == words.shape[1]
+        ties += zip(first[deep & (size > 1)].tolist(), size[deep & (size > 1)].tolist(), strict=True)
+        open_ = ~deep & (size > 1)
+        first, size, depth = first[open_], size[open_], depth[open_]
+        if not len(first):
+            return sorted(ties)
+        base = np.cumsum(size) - size
+        part = np.repeat(np.arange(len(first)), size)
+        at = np.arange(len(part)) - base[part] + first[part]
+        rows = order[at]
+        value = words[rows, depth[part]]
+        # the middle one of the first, the middle and the last
+        three = np.sort(np.stack([value[base], value[base + size // 2], value[base + size - 1]]), axis=0)
+        pivot = three[1][part]
+        side = (value >= pivot).astype(np.int64) + (value > pivot)
+        counts = np.stack([np.add.reduceat(side == k, base, dtype=np.int64) for k in range(3)])
+        starts = np.stack([first, first + counts[0], first + counts[0] + counts[1]])
+        rank = np.empty(len(part), np.int64)
+        for k in range(3):
+            own = side == k
+            before = np.cumsum(own) - own
+            rank[own] = (before - before[base][part])[own]
+        order[starts[side, part] + rank] = rows
+        first, size = starts.ravel(), counts.ravel()
+        depth = np.concatenate((depth, depth + 1, depth))
+
+
 def deep_shallow_sort(group: np.ndarray, strings: list[bytes], width: int, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within each group, and the bytes each has in common with the one before it, -1 at a group's first.
 
     group: ascending. Strings are compared as if filled up with zero bytes to `width`.
     """
     n = len(strings)
+    order, common = np.arange(n), np.full(n, -1, np.int64)
+    if not n:
+        return order, common
     padded = [s.ljust(width, b"\0") for s in strings]
-    order, segment = np.arange(n), np.unique(group, return_inverse=True)[1]
-    groups = segment.copy()
     depth = min(shallow, width) // WORD * WORD
-    words = np.frombuffer(b"".join(s[:depth] for s in padded), ">u8").reshape(n, -1) if n else np.zeros((0, 0), np.uint64)
-    for d in range(words.shape[1]):
-        tied = np.bincount(segment)[segment] > 1
-        at = np.flatnonzero(tied[order])
-        if not len(at):
-            break
-        word = words[order[at], d].astype(np.uint64)
-        moved = np.lexsort((word, segment[order[at]]))
-        order[at] = order[at][moved]
-        new = np.ones(n, bool)
-        new[1:] = segment[order[1:]] != segment[order[:-1]]
-        key = words[order, d]
-        new[1:] |= (key[1:] != key[:-1]) & tied[order[1:]]
-        numbered = np.empty(n, np.int64)
-        numbered[order] = np.cumsum(new) - 1
-        segment = numbered
-    common = np.full(n, -1, np.int64)
-    bounds = np.flatnonzero(np.concatenate(([True], segment[order[1:]] != segment[order[:-1]], [True]))) if n else np.zeros(1, int)
-    first, size = bounds[:-1], np.diff(bounds)
-    for a, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    words = np.frombuffer(b"".join(s[:depth] for s in padded), ">u8").reshape(n, -1).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    for a, k in multikey_quicksort(order, words, first, np.diff(np.append(first, n))):
         own = order[a : a + k].tolist()
         classes, shared = blind_trie_order([padded[i] for i in own])
         order[a : a + k] = [own[i] for c in classes for i in c]
         common[a : a + k] = np.concatenate([[s] + [width] * (len(c) - 1) for c, s in zip(classes, shared, strict=True)])
-    for a in first[1:].tolist():
+    for a in np.flatnonzero(common < 0)[1:].tolist():
         i, j = order[a - 1], order[a]
-        common[a] = common_prefix(padded[i], padded[j]) if groups[i] == groups[j] else -1
+        common[a] = common_prefix(padded[i], padded[j]) if group[i] == group[j] else -1
     return order, common
