@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the session's shared folder; a folder of our own only where none is named."""
+    """The same rows from a checkpoint in the session's shared folder; a folder of our own only in local mode."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="meshwright-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshwright-"))
     return df.checkpoint(eager=True)
 
 
