@@ -163,8 +163,32 @@ def test_mix(docs, empty):
     assert all(r["taken"] <= 3 * r["size"] for r in found)
     assert sorted(map(repr, found)) == sorted(map(repr, mixing.mix(docs).collect()))
     assert mixing.mix(empty).count() == 0
-    out = mixing.repeat_rows(docs)
-    assert out.columns == docs.columns and sum(len(words(r["text"])) for r in out.collect()) == sum(r["taken"] for r in found)
+    front = mixing.mix(docs, scatter=False).collect()
+    for s in names:
+        assert sum(r["taken"] for r in front if r["source"] == s) == sum(r["taken"] for r in found if r["source"] == s)
+    assert mixing.repeat_rows(docs).columns == docs.columns
+    assert mixing.repeat_rows(empty).count() == 0
+
+
+def test_mix_over_levels_of_shards(spark, monkeypatch):
+    """Quotas that come down two levels of groups, shards of few rows, blocks that are drawn."""
+    monkeypatch.setattr(mixing, "FANOUT", 4)
+    rows = [(k, " ".join(["w"] * (1 + k * 37 % 90)), "abc"[k % 7 % 3]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.mix(df, shard_rows=10, most_block=8).collect()
+    size, taken = Counter(), Counter()
+    for r in found:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    target = {r["source"]: r["target"] for r in found}
+    assert len(found) == 400 and sum(target.values()) == pytest.approx(sum(size.values()))
+    assert all(taken[s] == pytest.approx(target[s], rel=0.02) for s in target)
+    parted = [r for r in found if r["taken"] % r["size"]]
+    assert len(parted) > 40  # blocks lie all over the shards' lines
+    front = mixing.mix(df, shard_rows=10, most_block=8, scatter=False).collect()
+    assert sum(r["taken"] % r["size"] > 0 for r in front) <= 43
+    assert sorted(map(repr, found)) == sorted(map(repr, mixing.mix(df.repartition(7), shard_rows=10, most_block=8).collect()))
 
 
 def test_apportion_gives_the_highest_quotients(spark):
@@ -211,6 +235,39 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty, TOKENIZER).count() == 0
 
 
+def test_bpe_repairs_joins(monkeypatch):
+    """Chunks of a few bytes, so that cuts go through words, special tokens, letters with marks."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from meshwright.llm.text import slices
+
+    monkeypatch.setattr(bpe, "CHUNK_BITS", 2)
+    library = Tokenizer.from_file(TOKENIZER)
+    library.no_truncation()
+    library.no_padding()
+    draw = random.Random(5)
+    parts = ["a", "e", "b", " ", "  ", "\n", "'s", "Don", "<|endoftext|>", "Σ", "Α", "σ", "İ", "é", "\u0301", "日", "本", "x", "1", "."]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(90))) for _ in range(800)] + ["x" * 3000, ""]
+    codes, found = bpe.ChunkCodes(TOKENIZER), []
+    for _, _, data, offsets in slices(pa.array(texts), 20_000):
+        found += bpe.encode_slice(data, offsets, codes)
+    assert [ids.tolist() for ids in found] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "_agreed", lambda *_: None)  # nothing agrees: whole texts are encoded
+    found = [ids.tolist() for _, _, data, offsets in slices(pa.array(texts[:50]), 20_000) for ids in bpe.encode_slice(data, offsets, codes)]
+    assert found == [e.ids for e in library.encode_batch(texts[:50], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_katz_of_few_documents(spark, n):
+    rows = [(k, t, True) for k, t in enumerate(["one", "one two one two", None][:n])]
+    found = katz.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string, train boolean"), "train").collect()
+    assert sorted((r["id"], r["n_tokens"], r["n_known"]) for r in found) == [(0, 2, 2), (1, 5, 5), (2, 1, 1)][:n]
+    assert all(r["score"] < 0 for r in found)
+
+
 def test_katz(docs, empty):
     marked = docs.withColumn("train", F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True)))
     rows = [(r["doc_id"], r["text"], r["train"]) for r in marked.select("doc_id", "text", "train").collect()]

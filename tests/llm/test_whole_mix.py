@@ -8,7 +8,7 @@ from meshwright.llm import mixing
 
 
 def test_no_text_is_cut(spark, docs):
-    plan = mixing.mix(docs).collect()
+    plan = mixing.mix(docs, scatter=False).collect()
     out = corpus_pipeline.mix(spark, docs, "").collect()
     texts = {r["text"] for r in docs.collect()}
     assert out and all(r["text"] in texts for r in out) and all(r["n_chars"] == len(r["text"]) for r in out)
