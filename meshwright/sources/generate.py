@@ -7,15 +7,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.functions import cells as meta
+
 
 @dataclass(frozen=True)
 class Mesh:
-    """cells(cell bigint, vertices array<bigint>) and nodes(node bigint, x, y, z double) of one cell type."""
+    """cells(cell bigint, vertices array<bigint>) and nodes(node bigint, x, y, z double) of one cell type.
+
+    Where the geometry's degree is above 1, cells have a column geometry of all their nodes too.
+    """
 
     cell_type: str
     gdim: int
     cells: DataFrame
     nodes: DataFrame
+    degree: int = 1
+
+    @property
+    def geometry(self) -> str:
+        """The column of the nodes that give a cell its shape."""
+        return "vertices" if self.degree == 1 else "geometry"
 
 
 def _grid(spark: SparkSession, lo: list[float], hi: list[float], n: list[int]) -> DataFrame:
@@ -75,7 +86,7 @@ def box(spark: SparkSession, nx: int, ny: int, nz: int, cell_type: str = "tetrah
     at = spark.range(nx * ny * nz).selectExpr("id", f"((id div {nx * ny}) * {ny + 1} + (id div {nx}) % {ny}) * {nx + 1} + id % {nx} as v")
     step, up = nx + 1, (nx + 1) * (ny + 1)
     v = [f"v + {(k & 1) + (k >> 1 & 1) * step + (k >> 2) * up}" for k in range(8)]
-    # around the diagonal from corner 0 to corner 7
+    # Tetrahedra around the diagonal from corner 0 to corner 7, and two prisms, which fix the numbers of cells.
     tets = [(0, 1, 3, 7), (0, 1, 7, 5), (0, 5, 7, 4), (0, 3, 2, 7), (0, 6, 4, 7), (0, 2, 6, 7)]
     patterns = {"tetrahedron": tets, "hexahedron": [tuple(range(8))], "prism": [(0, 1, 2, 4, 5, 6), (1, 2, 3, 5, 6, 7)]}[cell_type]
     return Mesh(cell_type, 3, _listed(at, [[v[k] for k in p] for p in patterns]), _grid(spark, list(lo), list(hi), [nx, ny, nz]))
@@ -87,7 +98,17 @@ def points(spark: SparkSession, rows: list[tuple[float, ...]]) -> Mesh:
     return Mesh("point", 3, nodes.select(F.col("node").alias("cell"), F.array("node").alias("vertices")), nodes)
 
 
-def from_arrays(cell_type: str, gdim: int, cells: DataFrame, nodes: DataFrame) -> Mesh:
-    """A mesh of given cells and nodes; nodes that no cell has go."""
+def from_arrays(cell_type: str, gdim: int, cells: DataFrame, nodes: DataFrame, degree: int = 1) -> Mesh:
+    """A mesh of given cells (cell, vertices) and nodes; nodes that no cell has go.
+
+    With a degree above 1, `vertices` has all nodes of a cell, corners first.
+    """
+    n = meta.N_VERTICES[cell_type]
     used = cells.select(F.explode("vertices").alias("node")).distinct()
-    return Mesh(cell_type, gdim, cells.select("cell", "vertices"), nodes.join(used, "node", "left_semi").select("node", "x", "y", "z"))
+    cells = cells.select("cell", "vertices") if degree == 1 else cells.select("cell", F.slice("vertices", 1, n).alias("vertices"), F.col("vertices").alias("geometry"))
+    return Mesh(cell_type, gdim, cells, nodes.join(used, "node", "left_semi").select("node", "x", "y", "z"), degree)
+
+
+def extract_topology(cell_type: str, cells: DataFrame) -> DataFrame:
+    """(cell, vertices) of cells given by all their nodes."""
+    return cells.select("cell", F.slice("vertices", 1, meta.N_VERTICES[cell_type]).alias("vertices"))
