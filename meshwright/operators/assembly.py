@@ -1,4 +1,7 @@
-"""Element tensors of first-order simplices as column expressions, assembled by grouped sums; boundary conditions and lifting."""
+"""Element tensors of first-order simplices as column expressions, assembled by grouped sums; boundary conditions and lifting.
+
+Other cells and other elements are integrated by quadrature, in plans.weak.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +18,16 @@ from meshwright.sources.generate import Mesh
 
 
 def placed_cells(mesh: Mesh) -> DataFrame:
-    """(cell, vertices, points)."""
+    """(cell, vertices, points) of simplices; the formulas here hold for no other cells."""
+    if not meta.is_simplex(mesh.cell_type) or mesh.degree > 1:
+        raise ValueError(f"a {mesh.cell_type} of degree {mesh.degree} isn't affine: use plans.weak")
     return with_points(mesh.cells, "vertices", mesh.nodes, ["cell", "vertices"], meta.N_VERTICES[mesh.cell_type])
 
 
 def placed_facets(mesh: Mesh, facets: DataFrame) -> DataFrame:
     """(key, points) of facets by key."""
+    if not meta.is_simplex(mesh.cell_type):
+        raise ValueError(f"facets of a {mesh.cell_type} aren't affine: use plans.weak")
     return with_points(facets.select("key"), "key", mesh.nodes, ["key"], meta.DIM[mesh.cell_type]).withColumnRenamed("key", "vertices")
 
 
@@ -57,8 +64,12 @@ def _mass(tdim: int, gdim: int, weight: Column) -> list[list[Column]]:
 
 def stiffness_entries(mesh: Mesh, weight: Column | float = 1.0) -> DataFrame:
     tdim = meta.DIM[mesh.cell_type]
-    g, vol = gradients(tdim, mesh.gdim), volume(tdim, mesh.gdim)
-    return _matrix_entries(placed_cells(mesh), [[vol * weight * dot(a, b) for b in g] for a in g])
+    # gradients and volume are columns, worked out once a cell; the entries are products of them
+    names = [[f"__g{a}{c}" for c in range(mesh.gdim)] for a in range(tdim + 1)]
+    columns = [g.alias(n) for line, own in zip(gradients(tdim, mesh.gdim), names, strict=True) for g, n in zip(line, own, strict=True)]
+    cells = placed_cells(mesh).select("vertices", "points", (volume(tdim, mesh.gdim) * weight).alias("__vol"), *columns)
+    g = [[F.col(n) for n in line] for line in names]
+    return _matrix_entries(cells, [[F.col("__vol") * dot(a, b) for b in g] for a in g])
 
 
 def mass_entries(mesh: Mesh, weight: Column | float = 1.0) -> DataFrame:
