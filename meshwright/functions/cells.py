@@ -67,12 +67,70 @@ def closure(cell: str) -> dict[tuple[int, int], list[set[int]]]:
     return {(d, i): [set(sub_entities(cell, d, k)[i]) for k in range(d + 1)] for d in range(DIM[cell] + 1) for i in range(n_entities(cell, d))}
 
 
-def permutation(cell: str, n_nodes: int | None = None) -> tuple[int, ...]:
-    """Where the n-th vertex of a first-order cell of the VTK and Gmsh formats is in ours."""
+# The edges and faces of second-order cells in the order of each format, by that format's corners.
+FORMAT_EDGES = {
+    "vtk": {
+        "interval": [(0, 1)], "triangle": [(0, 1), (1, 2), (2, 0)], "quadrilateral": [(0, 1), (1, 2), (2, 3), (3, 0)], "tetrahedron": [(0, 1), (1, 2), (2, 0), (0, 3), (1, 3), (2, 3)],
+        "hexahedron": [(0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7)],
+        "prism": [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (0, 3), (1, 4), (2, 5)],
+    },
+    "gmsh": {
+        "interval": [(0, 1)], "triangle": [(0, 1), (1, 2), (2, 0)], "quadrilateral": [(0, 1), (1, 2), (2, 3), (3, 0)], "tetrahedron": [(0, 1), (1, 2), (2, 0), (3, 0), (2, 3), (1, 3)],
+        "hexahedron": [(0, 1), (0, 3), (0, 4), (1, 2), (1, 5), (2, 3), (2, 6), (3, 7), (4, 5), (4, 7), (5, 6), (6, 7)],
+        "prism": [(0, 1), (0, 2), (0, 3), (1, 2), (1, 4), (2, 5), (3, 4), (3, 5), (4, 5)],
+    },
+}
+FORMAT_FACES = {
+    "vtk": {"quadrilateral": [(0, 1, 2, 3)], "hexahedron": [(0, 4, 7, 3), (1, 2, 6, 5), (0, 1, 5, 4), (3, 7, 6, 2), (0, 3, 2, 1), (4, 5, 6, 7)], "prism": [(0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)]},
+    "gmsh": {"quadrilateral": [(0, 1, 2, 3)], "hexahedron": [(0, 3, 2, 1), (0, 1, 5, 4), (0, 4, 7, 3), (1, 2, 6, 5), (2, 3, 7, 6), (4, 5, 6, 7)], "prism": [(0, 1, 4, 3), (0, 2, 5, 3), (1, 2, 5, 4)]},
+}
+#: Codes of second-order cells.
+VTK_CODE_2 = {"interval": 21, "triangle": 22, "quadrilateral": 28, "tetrahedron": 24, "hexahedron": 29, "prism": 32}
+GMSH_CODE_2 = {"interval": 8, "triangle": 9, "quadrilateral": 10, "tetrahedron": 11, "hexahedron": 12, "prism": 13}
+
+
+def permutation(cell: str, n_nodes: int | None = None, form: str = "vtk") -> tuple[int, ...]:
+    """Where the n-th node of a cell of the VTK or Gmsh format is in ours, for cells of degree 1 and 2; others are an error."""
+    corner = FORMAT_ORDER.get(cell, tuple(range(N_VERTICES[cell])))
     n = n_nodes or N_VERTICES[cell]
-    if n != N_VERTICES[cell] and not is_simplex(cell):
+    if n == N_VERTICES[cell]:
+        return corner
+    if degree(cell, n) != 2 or cell not in FORMAT_EDGES[form]:
         raise ValueError(f"no permutation for a {cell} of {n} nodes")
-    return FORMAT_ORDER.get(cell, tuple(range(n)))
+    edges = [frozenset(e) for e in EDGES[cell]]
+    out = list(corner) + [len(corner) + edges.index(frozenset(corner[v] for v in e)) for e in FORMAT_EDGES[form][cell]]
+    listed = FORMAT_FACES[form].get(cell, [])
+    if DIM[cell] == 2 and listed:
+        out.append(len(out))
+    elif listed:
+        quads = [frozenset(f) for f in FACES[cell] if len(f) == 4]
+        first = len(corner) + len(edges)
+        out += [first + quads.index(frozenset(corner[v] for v in f)) for f in listed]
+        if cell == "hexahedron":
+            out.append(len(out))
+    return tuple(out)
+
+
+def from_vtk(code: int) -> tuple[str, int]:
+    """(cell type, degree) of a VTK code."""
+    for table, p in ((VTK_CODE, 1), (VTK_CODE_2, 2)):
+        for cell, c in table.items():
+            if c == code:
+                return cell, p
+    raise ValueError(f"unknown VTK code {code}")
+
+
+def vtk_code(cell: str, dim: int | None = None, p: int = 1) -> int:
+    """The VTK code of a cell, or of its entities of a dimension."""
+    kind = cell if dim is None else entity_type(cell, dim)
+    return (VTK_CODE if p == 1 else VTK_CODE_2)[kind]
+
+
+def to_type(name: str) -> str:
+    """A cell type by its name; unknown names are an error."""
+    if name not in DIM:
+        raise ValueError(f"unknown cell type {name}")
+    return name
 
 
 def inverse(order: tuple[int, ...]) -> tuple[int, ...]:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +46,71 @@ def _bucketed(frame: DataFrame, lo: str, hi: str, size: dict[str, float]) -> Dat
 
 
 def bucket_sizes(frame: DataFrame) -> dict[str, float]:
-    """Twice the mean extent of boxes, by axis: then a box reaches few buckets, and a bucket holds few boxes."""
+    """The smallest buckets, by axis: twice the mean extent of boxes."""
     row = frame.agg(*(F.avg(F.col(f"hi_{c}") - F.col(f"lo_{c}")).alias(c) for c in AXES)).first()
     return {c: 2 * row[c] if row[c] else 1.0 for c in AXES}
 
 
+def _level(size: dict[str, float]) -> Column:
+    """How often buckets are doubled until they are as wide as a box; so a box reaches 8 buckets of its level at most."""
+    over = F.greatest(*((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / size[c] for c in AXES))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(over, F.lit(1.0))))).cast("int")
+
+
+def _entered(frame: DataFrame, lo: str, hi: str, size: dict[str, float], levels: Column) -> DataFrame:
+    """A row for each bucket that a box reaches, on each of the levels."""
+    out = frame.withColumn("g_level", F.explode(levels)).withColumn("__w", F.expr("pow(2D, g_level)"))
+    for c in AXES:
+        first, last = (F.floor(F.col(f"{k}{c}") / (F.lit(size[c]) * F.col("__w"))).cast("bigint") for k in (lo, hi))
+        out = out.withColumn(f"g_{c}", F.explode(F.sequence(first, last)) if lo != hi else first)
+    return out
+
+
+def _levels_of(frame: DataFrame) -> list[int]:
+    return sorted(r[0] for r in frame.select("__level").distinct().collect())  # a few tens at most: powers of two of an extent
+
+
 def box_collisions(a: DataFrame, b: DataFrame, sizes: dict[str, float] | None = None) -> DataFrame:
-    """(e0, e1) of boxes that meet. A pair that shares several buckets counts in the one where both begin."""
+    """(e0, e1) of boxes that meet.
+
+    Buckets come in sizes that double. A box stands in those of its own size;
+    of two boxes the smaller one looks for the larger one on that one's level.
+    A pair that shares several buckets counts in the one where both begin.
+    """
     size = sizes or bucket_sizes(a)
-    p, q = _bucketed(a, "lo_", "hi_", size).alias("p"), _bucketed(b, "lo_", "hi_", size).alias("q")
-    own = " and ".join(f"p.g_{c} = greatest(floor(p.lo_{c} / {size[c]!r}D), floor(q.lo_{c} / {size[c]!r}D))" for c in AXES)
-    met = p.join(q, F.expr(" and ".join(f"p.g_{c} = q.g_{c}" for c in AXES)))
-    return met.where(overlap("p", "q") & F.expr(own)).selectExpr("p.entity as e0", "q.entity as e1")
+    a, b = a.withColumn("__level", _level(size)), b.withColumn("__level", _level(size))
+    of_a, of_b = _levels_of(a), _levels_of(b)
+    own = F.array("__level")
+    above = lambda levels, least: F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col("__level") + least)
+
+    def met(p: DataFrame, q: DataFrame) -> DataFrame:
+        same = F.expr(" and ".join(f"p.g_{c} = q.g_{c}" for c in ("level", *AXES)))
+        first = " and ".join(f"p.g_{c} = greatest(floor(p.lo_{c} / ({size[c]!r}D * p.__w)), floor(q.lo_{c} / ({size[c]!r}D * q.__w)))" for c in AXES)
+        return p.alias("p").join(q.alias("q"), same).where(overlap("p", "q") & F.expr(first)).selectExpr("p.entity as e0", "q.entity as e1")
+
+    small_a = met(_entered(a, "lo_", "hi_", size, above(of_b, 0)), _entered(b, "lo_", "hi_", size, own))
+    small_b = met(_entered(a, "lo_", "hi_", size, own), _entered(b, "lo_", "hi_", size, above(of_a, 1)))
+    return small_a.union(small_b)
 
 
 def points_in_boxes(frame: DataFrame, points: DataFrame, sizes: dict[str, float] | None = None) -> DataFrame:
-    """(point, entity) for each box that holds a point (point, x, y, z)."""
+    """(point, entity) for each box that holds a point (point, x, y, z); a point looks on every level that has boxes."""
     size = sizes or bucket_sizes(frame)
-    b, p = _bucketed(frame, "lo_", "hi_", size).alias("b"), _bucketed(points, "", "", size).alias("p")
-    return b.join(p, F.expr(" and ".join(f"b.g_{c} = p.g_{c}" for c in AXES))).where(point_in_box("b", "p")).selectExpr("p.point", "b.entity")
+    boxes_ = frame.withColumn("__level", _level(size))
+    levels = F.array(*map(F.lit, _levels_of(boxes_))).cast("array<int>")
+    # a box is entered a little larger, for the tolerance of the test
+    wide = boxes_
+    for c in AXES:
+        margin = (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * RTOL
+        wide = wide.withColumn(f"w_{c}", F.col(f"lo_{c}") - margin).withColumn(f"x_{c}", F.col(f"hi_{c}") + margin)
+    b, p = _entered(wide, "w_", "x_", size, F.array("__level")).alias("b"), _entered(points, "", "", size, levels).alias("p")
+    return b.join(p, F.expr(" and ".join(f"b.g_{c} = p.g_{c}" for c in ("level", *AXES)))).where(point_in_box("b", "p")).selectExpr("p.point", "b.entity")
+
+
+def global_boxes(frame: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, lo_x, hi_x, ...): one box around all boxes (entity, ...) of each part (entity, part)."""
+    ends = [f(f"{k}_{c}").alias(f"{k}_{c}") for c in AXES for k, f in (("lo", F.min), ("hi", F.max))]
+    return frame.join(parts, "entity").groupBy("part").agg(*ends)
 
 
 def closest(entities: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -129,27 +176,87 @@ def nearest_point_of_hull(points: np.ndarray, tol: float = 1e-15, most: int = 20
     return x
 
 
+def nearest_in_simplices(points: np.ndarray) -> np.ndarray:
+    """For each simplex (n, k, 3) the point of least norm: the least of all faces' that lies inside its face, all simplices at once."""
+    n, k, _ = points.shape
+    best, size = points[:, 0].copy(), (points[:, 0] ** 2).sum(axis=1)
+    for m in range(1, k + 1):
+        for some in combinations(range(k), m):
+            own = points[:, some]
+            if m == 1:
+                found, inside = own[:, 0], np.ones(n, bool)
+            else:
+                edges = own[:, 1:] - own[:, :1]
+                gram = edges @ edges.transpose(0, 2, 1)
+                flat = np.linalg.det(gram) <= 1e-28 * np.einsum("nii->n", gram) ** (m - 1)
+                gram[flat] = np.eye(m - 1)
+                t = np.linalg.solve(gram, -(edges @ own[:, 0, :, None]))[:, :, 0]
+                inside = ~flat & (t >= -1e-14).all(axis=1) & (t.sum(axis=1) <= 1 + 1e-14)
+                found = own[:, 0] + (t[:, :, None] * edges).sum(axis=1)
+            d2 = (found**2).sum(axis=1)
+            better = inside & (d2 < size)
+            best[better], size[better] = found[better], d2[better]
+    return best
+
+
 def hull_distances(pairs: DataFrame) -> DataFrame:
-    """(id, dx, dy, dz, d2): the shortest vector between two convex hulls, given (id, p, q) with arrays of points."""
+    """(id, dx, dy, dz, d2): the shortest vector between two convex hulls, given (id, p, q) with arrays of points.
+
+    Where their differences are up to four points, all pairs of a batch are
+    solved at once; others one by one.
+    """
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            p, q = (_points(batch.column(k)) for k in (1, 2))
+            sizes = np.array([len(a) * len(b) if len(a) and len(b) else 0 for a, b in zip(p, q, strict=True)])
+            out = np.full((n, 3), np.nan)
+            for k in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == k)
+                apart = np.stack([(p[i][:, None, :] - q[i][None, :, :]).reshape(-1, 3) for i in own])
+                out[own] = nearest_in_simplices(apart) if k <= 4 else np.stack([nearest_point_of_hull(x) for x in apart])
+            columns = [batch.column(0), *(pa.array(out[:, c]) for c in range(3)), pa.array((out * out).sum(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "dx", "dy", "dz", "d2"])
 
-    def shortest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, p, q in zip(frame["id"], frame["p"], frame["q"], strict=True):
-                a, b = np.array([list(x) for x in p], float), np.array([list(x) for x in q], float)
-                v = nearest_point_of_hull((a[:, None, :] - b[None, :, :]).reshape(-1, 3))
-                rows.append((i, *v, float(v @ v)))
-            yield pd.DataFrame(rows, columns=["id", "dx", "dy", "dz", "d2"])
+    flat = lambda c: F.flatten(F.transform(c, lambda v: v.cast("array<double>")))
+    return pairs.select("id", flat("p").alias("p"), flat("q").alias("q")).mapInArrow(shortest, f"id {dict(pairs.dtypes)['id']}, dx double, dy double, dz double, d2 double")
 
-    return pairs.select("id", "p", "q").mapInPandas(shortest, "id long, dx double, dy double, dz double, d2 double")
+
+def _points(column: pa.Array) -> list[np.ndarray]:
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    return [values[a:b].reshape(-1, 3) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def entity_distances(mesh_points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(point, entity, dx, dy, dz, d2): the shortest vector from points to entities (entity, points), for pairs (point, entity, x, y, z)."""
+    both = pairs.join(mesh_points.select("entity", "points"), "entity")
+    rows = both.select(F.struct("point", "entity").alias("id"), F.transform("points", lambda v: F.array(v["x"], v["y"], v["z"])).alias("p"), F.array(F.array("x", "y", "z")).alias("q"))
+    return hull_distances(rows).select("id.point", "id.entity", "dx", "dy", "dz", "d2")
 
 
 def colliding_cells(cells: DataFrame, candidates: DataFrame, points: DataFrame, most: float = 1e-12) -> DataFrame:
     """(point, cell) of candidates (point, entity) whose hull of `points` is within sqrt(most) of the point."""
-    pairs = candidates.join(cells.select(F.col("cell").alias("entity"), F.col("points").alias("p")), "entity").join(points, "point")
-    numbered = pairs.select(F.struct("point", "entity").alias("k"), F.transform("p", lambda v: F.array(v["x"], v["y"], v["z"])).alias("p"), F.array(F.array("x", "y", "z")).alias("q"))
-    numbered = reliable(numbered.withColumn("id", F.monotonically_increasing_id()))
-    return numbered.join(hull_distances(numbered), "id").where(F.col("d2") < most).select("k.point", F.col("k.entity").alias("cell"))
+    pairs = candidates.join(points, "point")
+    found = entity_distances(cells.select(F.col("cell").alias("entity"), "points"), pairs)
+    return found.where(F.col("d2") < most).select("point", F.col("entity").alias("cell"))
+
+
+def point_ownership(cells: DataFrame, points: DataFrame, padding: float = 1e-4, parts: DataFrame | None = None) -> DataFrame:
+    """(point, cell, d2[, part]): for each point the least cell (cell, points) that holds it, else the nearest one of those within padding of its box, else -1.
+
+    parts: (cell, part), whose part comes along.
+    """
+    flat = cells.select(F.col("cell").alias("entity"), F.explode("points").alias("p")).select("entity", "p.x", "p.y", "p.z")
+    frame = boxes(flat, "entity", padding)
+    near = points_in_boxes(frame, points).join(points, "point")
+    found = entity_distances(cells.select(F.col("cell").alias("entity"), "points"), near)
+    held = F.when(F.col("d2") < 1e-12, F.lit(0.0)).otherwise(F.col("d2"))
+    best = found.groupBy("point").agg(F.min(F.struct(held.alias("d2"), F.col("entity").alias("cell"))).alias("b")).select("point", "b.cell", "b.d2")
+    out = points.select("point").join(best, "point", "left").select("point", F.coalesce("cell", F.lit(-1)).alias("cell"), "d2")
+    return out if parts is None else out.join(parts, "cell", "left")
 
 
 def first_colliding_cell(hits: DataFrame, points: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def index_owner(index: Column, n: int, parts: int) -> Column:
 
 
 def sort_unique(df: DataFrame, index: str, value: str) -> DataFrame:
-    """One row per index with its smallest value, in order."""
-    return df.groupBy(index).agg(F.min(value).alias(value)).orderBy(index)
+    """One row per index with its smallest value. Rows have no order; whoever writes them may sort within partitions."""
+    return df.groupBy(index).agg(F.min(value).alias(value))
 
 
 def stacked(frames: list[DataFrame], sizes: list[int], *columns: str) -> DataFrame:
@@ -72,6 +72,11 @@ def to_lists(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.groupBy(F.col(src).alias("node")).agg(F.array_sort(F.collect_list(dst)).alias("links"))
 
 
+def degrees(edges: DataFrame, src: str = "src") -> DataFrame:
+    """(node, degree): counts of links, which no list is made for."""
+    return edges.groupBy(F.col(src).alias("node")).agg(F.count("*").alias("degree"))
+
+
 def transposed(edges: DataFrame) -> DataFrame:
     """The edges turned round, positions anew by source."""
     at = F.row_number().over(W.partitionBy("dst").orderBy("src", "pos")) - 1

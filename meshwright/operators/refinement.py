@@ -20,7 +20,7 @@ def _named(cell: str) -> dict[tuple[float, ...], str]:
     x, out = corners(cell), {}
     for d, letter in ((0, "v"), (1, "e"), (2, "f"), (3, "m")):
         for i, v in enumerate(meta.entity_vertices(cell, d) if d <= meta.DIM[cell] else []):
-            if len(v) in (1, 2, 4, 8):
+            if meta.entity_type(cell, d, i) in ("point", "interval", "quadrilateral", "hexahedron"):
                 out.setdefault(tuple(x[list(v)].mean(axis=0).tolist()), f"{letter}{i}")
     return out
 

@@ -320,6 +320,18 @@ def interpolate_function(space: FunctionSpace, source: Function, cells: DataFram
     return Function(space, w.select(F.explode(each).alias("e")).groupBy("e.i").agg(F.max("e.v").alias("v")))
 
 
+def interpolate_nonmatching(space: FunctionSpace, source: Function, padding: float = 1e-4) -> Function:
+    """A field of another mesh in this space of point values: dofs are points, which find their cells there; 0 where they find none."""
+    from meshwright.operators import geometry
+
+    points = reliable(space.tabulate_dof_coordinates().withColumnRenamed("dof", "point"))
+    mesh = source.space.mesh
+    cells = topology.with_points(mesh.cells, "vertices", mesh.nodes, ["cell"], meta.N_VERTICES[mesh.cell_type])
+    owned = geometry.point_ownership(cells, points, padding).select("point", "cell")
+    values = evaluate(source, points.join(owned, "point"))
+    return Function(space, values.select("point", F.posexplode("v").alias("k", "v")).select((F.col("point") * space.block_size + F.col("k")).alias("i"), "v"))
+
+
 def interpolation_matrix(space: FunctionSpace, source: FunctionSpace) -> DataFrame:
     """(i, j, v) of the map from a source space's dofs to this one's; entries that several cells give are alike and stand once."""
     matrix, bs = space.element.interpolation_matrix(source.element), space.element.block_size

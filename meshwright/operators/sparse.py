@@ -99,5 +99,74 @@ def is_orthonormal(basis: list[DataFrame], eps: float = 1e-10) -> bool:
     return all(abs(inner_product(a, b).first()[0] - (i == j)) <= eps for i, a in enumerate(basis) for j, b in enumerate(basis) if i <= j)
 
 
+def blocked(a: DataFrame, bs0: int, bs1: int) -> DataFrame:
+    """Entries by block (bi, bj, values row by row): the compact form; places that a block lacks are 0."""
+    at = a.select(F.floor(F.col("i") / bs0).alias("bi"), F.floor(F.col("j") / bs1).alias("bj"), ((F.col("i") % bs0) * bs1 + F.col("j") % bs1).alias("k"), "v")
+    return at.groupBy("bi", "bj").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0.0)) for k in range(bs0 * bs1))).alias("values"))
+
+
+def expanded(blocks: DataFrame, bs0: int, bs1: int) -> DataFrame:
+    """Blocks as single entries: the expanded form."""
+    each = blocks.select("bi", "bj", F.posexplode("values").alias("k", "v"))
+    return each.select((F.col("bi") * bs0 + F.floor(F.col("k") / bs1)).alias("i"), (F.col("bj") * bs1 + F.col("k") % bs1).alias("j"), "v")
+
+
+def zero_matrix(places: DataFrame) -> DataFrame:
+    """A matrix of a pattern (i, j), without values yet."""
+    return places.select("i", "j", F.lit(0.0).alias("v"))
+
+
+def block_system(blocks: list[list[DataFrame | None]], row_sizes: list[int], column_sizes: list[int]) -> DataFrame:
+    """One matrix of an array of them, None for empty ones, shifted by the sizes before theirs."""
+    out, first = None, 0
+    for line, size in zip(blocks, row_sizes, strict=True):
+        beside = 0
+        for a, width in zip(line, column_sizes, strict=True):
+            if a is not None:
+                moved = a.select((F.col("i") + first).alias("i"), (F.col("j") + beside).alias("j"), "v")
+                out = moved if out is None else out.unionByName(moved)
+            beside += width
+        first += size
+    return out
+
+
+def block_vector(parts: list[DataFrame], sizes: list[int]) -> DataFrame:
+    """One vector of several, shifted by the sizes before theirs."""
+    out, first = None, 0
+    for x, size in zip(parts, sizes, strict=True):
+        moved = x.select((F.col("i") + first).alias("i"), "v")
+        out, first = moved if out is None else out.unionByName(moved), first + size
+    return out
+
+
+def split_vector(x: DataFrame, sizes: list[int]) -> list[DataFrame]:
+    """The vectors that block_vector() put together."""
+    out, first = [], 0
+    for size in sizes:
+        out.append(x.where((F.col("i") >= first) & (F.col("i") < first + size)).select((F.col("i") - first).alias("i"), "v"))
+        first += size
+    return out
+
+
+def to_scipy(a: DataFrame, most: int = 10_000_000):
+    """(rows, columns, values) as numpy arrays, the form that other libraries take; more than `most` entries are an error."""
+    rows = a.select("i", "j", "v").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"the matrix has more than {most} entries")
+    return tuple(rows[c].to_numpy() for c in "ijv")
+
+
+def to_dense(a: DataFrame, shape: tuple[int, int], most: int = 10_000_000):
+    """A small matrix as a numpy array; more than `most` places are an error."""
+    import numpy as np
+
+    if shape[0] * shape[1] > most:
+        raise ValueError(f"the matrix has more than {most} places")
+    i, j, v = to_scipy(a, most)
+    out = np.zeros(shape)
+    np.add.at(out, (i, j), v)
+    return out
+
+
 def nnz_per_row(a: DataFrame) -> DataFrame:
     return a.groupBy("i").agg(F.count("*").alias("nnz"))

@@ -72,8 +72,8 @@ def dual_graph(mesh: Mesh) -> DataFrame:
 
 
 def incident(pairs: DataFrame, some: DataFrame) -> DataFrame:
-    """Distinct e1 of (e0, e1) pairs whose e0 is in `some`, in order."""
-    return pairs.join(some.select("e0").distinct(), "e0", "left_semi").select("e1").distinct().orderBy("e1")
+    """Distinct e1 of (e0, e1) pairs whose e0 is in `some`."""
+    return pairs.join(some.select("e0").distinct(), "e0", "left_semi").select("e1").distinct()
 
 
 def with_points(keys: DataFrame, vertices: str, nodes: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
@@ -89,6 +89,62 @@ def with_points(keys: DataFrame, vertices: str, nodes: DataFrame, by: list[str],
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("points"))
 
 
+def vertex_coordinates(mesh: Mesh, keys: DataFrame | None = None) -> DataFrame:
+    """(node, x, y, z) of the vertices of cells, or of given entities (key) only, such as boundary facets."""
+    some = mesh.cells.select(F.explode("vertices").alias("node")) if keys is None else keys.select(F.explode("key").alias("node"))
+    return mesh.nodes.join(some.distinct(), "node", "left_semi")
+
+
+def entity_geometry(mesh: Mesh, dim: int, keys: DataFrame) -> DataFrame:
+    """(key, cell, nodes): the nodes that shape each entity, those of its closure in the first of its cells."""
+    from meshwright.functions.elements import FiniteElement
+
+    basis = FiniteElement("Lagrange", mesh.cell_type, mesh.degree)
+    first = cell_entities(mesh, dim).join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("cell", "local")).alias("f")).select("key", "f.cell", "f.local")
+    closure = F.array(*(F.array(*map(F.lit, basis.entity_closure_dofs(dim, i))).cast("array<int>") for i in range(meta.n_entities(mesh.cell_type, dim))))
+    return first.join(mesh.cells.select("cell", F.col(mesh.geometry).alias("__n")), "cell").select("key", "cell", F.transform(F.element_at(closure, F.col("local") + 1), lambda p: F.get("__n", p)).alias("nodes"))
+
+
+def tagged(tags: DataFrame, value: int) -> DataFrame:
+    """The entities of a tag."""
+    return tags.where(F.col("value") == value).drop("value")
+
+
+def tags_to_submesh(tags: DataFrame, parent_nodes: DataFrame, sub: Mesh, dim: int) -> DataFrame:
+    """Tags (key, value) of a mesh for a sub-mesh's entities, given its nodes' numbers (sub, parent); entities that it hasn't go."""
+    each = tags.select("key", "value", F.explode("key").alias("parent")).join(parent_nodes, "parent")
+    moved = each.groupBy("key", "value").agg(F.array_sort(F.collect_list("sub")).alias("own")).where(F.size("own") == F.size("key"))
+    known = cell_entities(sub, dim).select("key").distinct()
+    return moved.select(F.col("own").alias("key"), "value").join(known, "key", "left_semi").groupBy("key").agg(F.min("value").alias("value"))
+
+
+def cell_permutation_info(mesh: Mesh) -> DataFrame:
+    """(cell, info): faces' rotations and reflections, three bits a face, then edges' reflections, a bit an edge."""
+    dim = meta.DIM[mesh.cell_type]
+    n_faces = meta.n_entities(mesh.cell_type, 2) if dim == 3 else 0
+    bits = edge_reflections(mesh).select("cell", F.shiftleft(F.col("reflected").cast("bigint"), F.col("local") + 3 * n_faces).alias("bit")) if dim > 1 else mesh.cells.select("cell", F.lit(0).cast("bigint").alias("bit"))
+    if dim == 3:
+        face = (F.col("rotations") * 2 + F.col("reflected").cast("int")).cast("bigint")
+        bits = bits.unionByName(face_permutations(mesh).select("cell", F.shiftleft(face, 3 * F.col("local")).alias("bit")))
+    return bits.groupBy("cell").agg(F.bit_or("bit").alias("info"))
+
+
+def facet_permutations(mesh: Mesh) -> DataFrame:
+    """(cell, local, code): how each facet lies in its cell, twice its turns plus whether it is reflected."""
+    if meta.DIM[mesh.cell_type] == 3:
+        return face_permutations(mesh).select("cell", "local", (F.col("rotations") * 2 + F.col("reflected").cast("int")).alias("code"))
+    if meta.DIM[mesh.cell_type] == 2:
+        return edge_reflections(mesh).select("cell", "local", F.col("reflected").cast("int").alias("code"))
+    return cell_entities(mesh, 0).select("cell", "local", F.lit(0).alias("code"))
+
+
+def fingerprint(mesh: Mesh) -> DataFrame:
+    """One row with a hash of all cells and nodes, whatever their order; a hash of each part of it can be added up."""
+    cells = mesh.cells.agg(F.bit_xor(F.xxhash64("cell", "vertices")).alias("cells"))
+    nodes = mesh.nodes.agg(F.bit_xor(F.xxhash64("node", "x", "y", "z")).alias("nodes"))
+    return cells.join(nodes).select(F.xxhash64("cells", "nodes").alias("hash"))
+
+
 def locate_entities(mesh: Mesh, dim: int, marker: Column) -> DataFrame:
     """(key) of entities all of whose vertices satisfy a predicate on x, y, z."""
     keys = cell_entities(mesh, dim).select("key").distinct()

@@ -920,8 +920,11 @@ def solve(a: Form, rhs: Form, bc: DataFrame, rtol: float = 1e-10, symmetric: boo
     return Function(a.function_spaces[1], x), n
 
 
-def solve_nonlinear(residual: Form, u: Function, bc: DataFrame, rtol: float = 1e-9, atol: float = 1e-10, most: int = 50, relaxation: float = 1.0, symmetric: bool = False) -> tuple[Function, int]:
-    """Newton's method for residual(u; v) = 0 with u = g at constrained dofs; (field, steps)."""
+def solve_nonlinear(residual: Form, u: Function, bc: DataFrame, rtol: float = 1e-9, atol: float = 1e-10, most: int = 50, relaxation: float = 1.0, linear: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[Function, int]:
+    """Newton's method for residual(u; v) = 0 with u = g at constrained dofs; (field, steps).
+
+    linear(matrix, b) solves a step; by default restarted least residuals.
+    """
     from meshwright.operators import assembly, solvers
     from meshwright.operators.numbering import reliable
 
@@ -937,6 +940,6 @@ def solve_nonlinear(residual: Form, u: Function, bc: DataFrame, rtol: float = 1e
         if size < atol or (n and size < rtol * first):
             return now, n
         matrix = reliable(assemble(jacobian.replaced(u, now), zero))
-        step, _ = (solvers.conjugate_gradients if symmetric else solvers.stabilised_bicg)(matrix, b, 1e-12)
+        step = linear(matrix, b) if linear else solvers.gmres(matrix, b, 1e-10)[0]
         values = reliable(values.unionByName(step.select("i", (F.col("v") * -relaxation).alias("v"))).groupBy("i").agg(F.sum("v").alias("v")))
     raise ArithmeticError(f"Newton's method didn't converge in {most} steps")

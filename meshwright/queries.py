@@ -1,18 +1,21 @@
 """Registered queries of the mesh, sparse-algebra and geometry operators, each with its SQL.
 
 Where the given tables have the shape of an operator's input, the query runs
-over whole tables; mesh queries run over generated meshes.
+over whole tables; mesh queries run over meshes whose size follows the tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.operators import assembly, geometry, numbering, refinement, sparse, topology
-from meshwright.plans import forms
+from meshwright.functions import cells as meta
+from meshwright.operators import assembly, geometry, numbering, partition, refinement, solvers, sparse, spaces, topology
+from meshwright.plans import forms, weak
+from meshwright.plans.weak import Field, Normal, Position, TestFunction, TrialFunction, div, dot, dS, ds, dx, grad, inner, jump
 from meshwright.sources import generate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +79,7 @@ def spmv_transposed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select a.j as i, b.j as j, round(sum(a.v * b.v), 4) as v from {COO} a join {COO} b on a.i = b.i group by 1, 2")
 def spgemm_co_supply(spark: SparkSession, d: str) -> DataFrame:
-    a = sparse.assembled(_supply(spark, d))
+    a = numbering.reliable(sparse.assembled(_supply(spark, d)))
     return _rounded(sparse.matmul(sparse.transpose(a), a), "v", digits=4)
 
 
@@ -102,13 +105,13 @@ def inner_product(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_custkey::bigint as node, count(*) as degree from orders group by 1")
 def adjacency_degree(spark: SparkSession, d: str) -> DataFrame:
     edges = _read(spark, d, "orders").selectExpr("cast(o_custkey as bigint) as src", "cast(o_orderkey as bigint) as dst")
-    return numbering.to_lists(edges).select("node", F.size("links").cast("bigint").alias("degree"))
+    return numbering.degrees(edges)
 
 
 @query("select src, row_number() over (partition by src order by dst) - 1 as pos, dst from (select l_partkey::bigint as src, l_orderkey::bigint as dst from (select distinct l_orderkey, l_partkey from lineitem))")
 def adjacency_transpose(spark: SparkSession, d: str) -> DataFrame:
     links = _read(spark, d, "lineitem").selectExpr("cast(l_orderkey as bigint) as src", "cast(l_partkey as bigint) as dst").distinct()
-    edges = numbering.to_edges(numbering.to_lists(links), "node", "links")
+    edges = links.select("src", F.lit(0).alias("pos"), "dst")  # a pair stands once, so sources alone order a list
     return numbering.transposed(edges).select("src", F.col("pos").cast("bigint").alias("pos"), "dst")
 
 
@@ -118,16 +121,6 @@ def dual_graph_of_suppliers(spark: SparkSession, d: str) -> DataFrame:
     return topology.shared_key_pairs(rows, "key", "node").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("select l_partkey::bigint as key from lineitem group by 1 having count(*) = 30")
-def keys_by_incidence(spark: SparkSession, d: str) -> DataFrame:
-    return _supply(spark, d).groupBy(F.col("i").alias("key")).agg(F.count("*").alias("n")).where("n = 30").select("key")
-
-
-@query("select l_orderkey::bigint as key from lineitem group by 1 having count(*) = 1")
-def exterior_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("bigint").alias("key")).agg(F.count("*").alias("n")).where("n = 1").select("key")
-
-
 @query("select distinct l_partkey::bigint as e1 from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT'")
 def incident_entities(spark: SparkSession, d: str) -> DataFrame:
     pairs = _read(spark, d, "lineitem").selectExpr("cast(l_orderkey as bigint) as e0", "cast(l_partkey as bigint) as e1")
@@ -141,7 +134,7 @@ def mark_maximum(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id::bigint as entity from labels where quality = 0")
 def tags_find(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "labels").where("quality = 0").selectExpr("cast(doc_id as bigint) as entity")
+    return topology.tagged(_read(spark, d, "labels").selectExpr("cast(doc_id as bigint) as entity", "quality as value"), 0)
 
 
 @query("select d.doc_id::bigint as doc_id, coalesce(l.quality, -1)::bigint as quality from documents d left join labels l on d.doc_id = l.doc_id")
@@ -157,12 +150,6 @@ def transfer_tags(spark: SparkSession, d: str) -> DataFrame:
     return topology.transfer_tags(tags, parents).selectExpr("child.n as line", "child.o as child", "value")
 
 
-@query("select o_orderkey::bigint as key from orders join lineitem on o_orderkey = l_orderkey group by 1 having bool_and(l_quantity > 20)")
-def locate_all_vertices(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "lineitem").selectExpr("cast(l_orderkey as bigint) as key", "l_quantity > 20 as ok")
-    return rows.groupBy("key").agg(F.bool_and("ok").alias("ok")).where("ok").select("key")
-
-
 def _order_points(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "lineitem").selectExpr("cast(l_partkey as bigint) as entity", "cast(l_quantity as double) as x", "cast(l_extendedprice as double) as y", "0D as z")
 
@@ -222,12 +209,6 @@ def matrix_with_bc(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(assembly.assemble_matrix(_supply(spark, d), _bc(spark, d)), "v")
 
 
-@query("select label::bigint as label, k::bigint as k, round(avg(x), 5) as x from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as k from embeddings) group by 1, 2")
-def midpoints_by_label(spark: SparkSession, d: str) -> DataFrame:
-    each = _read(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("k", "x"))
-    return _rounded(each.groupBy("label", F.col("k").cast("bigint").alias("k")).agg(F.avg(F.col("x").cast("double")).alias("x")), "x", digits=5)
-
-
 @query("select event_type, round(avg(value), 6) as average, round(min(value), 6) as least, round(max(value), 6) as greatest from events group by 1")
 def table_reduce(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(numbering.table_reduce(_read(spark, d, "events"), ["event_type"], "value"), "average", "least", "greatest")
@@ -258,34 +239,49 @@ def index_owner(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(numbering.index_owner(F.col("i"), n, 7).cast("bigint").alias("part")).groupBy("part").agg(F.count("*").alias("rows"))
 
 
-TRIANGLES = "(select (iy * 64 + ix) * 2 + k as cell, v0 as a, case when k = 0 then v0 + 1 else v0 + 65 end as b, v0 + 66 as c from (select iy, ix, iy * 65 + ix as v0 from range(64) r(iy), range(64) s(ix)), range(2) t(k))"
-NODES = "(select v as node, (v % 65) / 64.0::double as x, (v // 65) / 64.0::double as y from range(4225) t(v))"
+#: Cells along a side of the meshes, from the number of customers: in the plane, and in space.
+SIDE = "(select greatest(8, floor(sqrt(count(*)))::bigint) as s from customer)"
+SIDE_3 = "(select greatest(2, floor(power(count(*), 1 / 3.0) / 2 + 1e-9)::bigint) as s from customer)"
+GRID = f"(select s, iy, ix, iy * (s + 1) + ix as v0 from (select s, unnest(range(s)) as iy from {SIDE}) cross join (select unnest(range(s)) as ix from {SIDE}))"
+TRIANGLES = f"(select (iy * s + ix) * 2 + k as cell, v0 as a, case when k = 0 then v0 + 1 else v0 + s + 1 end as b, v0 + s + 2 as c from {GRID}, range(2) t(k))"
+NODES = f"(select v as node, v % (s + 1) as ix, v // (s + 1) as iy, (v % (s + 1)) / s::double as x, (v // (s + 1)) / s::double as y from (select s, unnest(range((s + 1) * (s + 1))) as v from {SIDE}))"
+
+
+def _side(spark: SparkSession, d: str) -> int:
+    return max(8, isqrt(_read(spark, d, "customer").count()))
 
 
-def _square(spark: SparkSession) -> generate.Mesh:
-    return generate.rectangle(spark, 64, 64)
+def _side_3(spark: SparkSession, d: str) -> int:
+    return max(2, int(_read(spark, d, "customer").count() ** (1 / 3) / 2 + 1e-9))
+
+
+def _square(spark: SparkSession, d: str) -> generate.Mesh:
+    n = _side(spark, d)
+    return generate.rectangle(spark, n, n)
 
 
 @query(f"select cell, a, b, c from {TRIANGLES}")
 def mesh_triangles(spark: SparkSession, d: str) -> DataFrame:
-    return _square(spark).cells.select("cell", *(F.col("vertices")[k].alias(c) for k, c in enumerate("abc")))
+    return _square(spark, d).cells.select("cell", *(F.col("vertices")[k].alias(c) for k, c in enumerate("abc")))
 
 
 @query(f"select node, round(x, 9) as x, round(y, 9) as y from {NODES}")
 def mesh_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_square(spark).nodes.select("node", "x", "y"), "x", "y", digits=9)
+    return _rounded(_square(spark, d).nodes.select("node", "x", "y"), "x", "y", digits=9)
 
 
-@query("select n * 6 + k as cell, v + w.a as a, v + w.b as b, v + w.c as c, v + w.d as d from (select iz * 64 + iy * 8 + ix as n, (iz * 9 + iy) * 9 + ix as v from range(8) r(iz), range(8) s(iy), range(8) t(ix)), (values (0, 0, 1, 10, 91), (1, 0, 1, 91, 82), (2, 0, 82, 91, 81), (3, 0, 10, 9, 91), (4, 0, 90, 81, 91), (5, 0, 9, 90, 91)) w(k, a, b, c, d)")
+@query(f"select (iz * s * s + iy * s + ix) * 6 + k as cell, v + w.a + w.ay * (s + 1) + w.az * t as a, v + w.b + w.\"by\" * (s + 1) + w.bz * t as b, v + w.c + w.cy * (s + 1) + w.cz * t as c, v + w.d + w.dy * (s + 1) + w.dz * t as d from (select s, (s + 1) * (s + 1) as t, iz, iy, ix, (iz * (s + 1) + iy) * (s + 1) + ix as v from (select s, unnest(range(s)) as iz from {SIDE_3}) cross join (select unnest(range(s)) as iy from {SIDE_3}) cross join (select unnest(range(s)) as ix from {SIDE_3})), (values (0, 0,0,0, 1,0,0, 1,1,0, 1,1,1), (1, 0,0,0, 1,0,0, 1,1,1, 1,0,1), (2, 0,0,0, 1,0,1, 1,1,1, 0,0,1), (3, 0,0,0, 1,1,0, 0,1,0, 1,1,1), (4, 0,0,0, 0,1,1, 0,0,1, 1,1,1), (5, 0,0,0, 0,1,0, 0,1,1, 1,1,1)) w(k, a, ay, az, b, \"by\", bz, c, cy, cz, d, dy, dz)")
 def mesh_tetrahedra(spark: SparkSession, d: str) -> DataFrame:
-    return generate.box(spark, 8, 8, 8).cells.select("cell", *(F.col("vertices")[k].alias(c) for k, c in enumerate("abcd")))
+    n = _side_3(spark, d)
+    return generate.box(spark, n, n, n).cells.select("cell", *(F.col("vertices")[k].alias(c) for k, c in enumerate("abcd")))
 
 
-@query("select iy * 16 + ix as cell, ix * 17 + iy as a, (ix + 1) * 17 + iy as b, ix * 17 + iy + 1 as c, (ix + 1) * 17 + iy + 1 as d from range(16) r(iy), range(16) s(ix)")
+@query(f"select iy * s + ix as cell, ix * (s + 1) + iy as a, (ix + 1) * (s + 1) + iy as b, ix * (s + 1) + iy + 1 as c, (ix + 1) * (s + 1) + iy + 1 as d from {GRID}")
 def mesh_quadrilaterals(spark: SparkSession, d: str) -> DataFrame:
-    cells = generate.rectangle(spark, 16, 16, "quadrilateral").cells
+    n = _side(spark, d)
+    cells = generate.rectangle(spark, n, n, "quadrilateral").cells
     # numbered row by row, as vertices are numbered column by column
-    return cells.selectExpr("(vertices[0] % 17) * 16 + vertices[0] div 17 as cell", *(f"vertices[{k}] as {c}" for k, c in enumerate("abcd")))
+    return cells.selectExpr(f"(vertices[0] % {n + 1}) * {n} + vertices[0] div {n + 1} as cell", *(f"vertices[{k}] as {c}" for k, c in enumerate("abcd")))
 
 
 EDGES = f"(select least(u, w) as u, greatest(u, w) as w, cell from (select a as u, b as w, cell from {TRIANGLES} union all select a, c, cell from {TRIANGLES} union all select b, c, cell from {TRIANGLES}))"
@@ -293,27 +289,37 @@ EDGES = f"(select least(u, w) as u, greatest(u, w) as w, cell from (select a as
 
 @query(f"select u, w, row_number() over (order by u, w) - 1 as entity from (select distinct u, w from {EDGES})")
 def mesh_edges(spark: SparkSession, d: str) -> DataFrame:
-    return topology.entities(_square(spark), 1).select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), F.col("entity").cast("bigint").alias("entity"))
+    return topology.entities(_square(spark, d), 1).select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), F.col("entity").cast("bigint").alias("entity"))
 
 
 @query(f"select u, w, min(cell) as cell from {EDGES} group by 1, 2 having count(*) = 1")
 def mesh_exterior_facets(spark: SparkSession, d: str) -> DataFrame:
-    return topology.exterior_facets(_square(spark)).select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), "cell")
+    return topology.exterior_facets(_square(spark, d)).select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), "cell")
 
 
 @query(f"select e.cell as src, f.cell as dst from {EDGES} e join {EDGES} f on e.u = f.u and e.w = f.w and e.cell != f.cell")
 def mesh_dual_graph(spark: SparkSession, d: str) -> DataFrame:
-    return topology.dual_graph(_square(spark))
+    return topology.dual_graph(_square(spark, d))
 
 
 @query(f"select u, w, round((p.x + q.x) / 2, 9) as x, round((p.y + q.y) / 2, 9) as y, round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)), 9) as h from (select distinct u, w from {EDGES}) join {NODES} p on u = p.node join {NODES} q on w = q.node")
 def mesh_midpoints_and_sizes(spark: SparkSession, d: str) -> DataFrame:
-    mesh = _square(spark)
+    mesh = _square(spark, d)
     keys = topology.cell_entities(mesh, 1).select("key").distinct()
     both = topology.midpoints(keys, mesh.nodes).join(topology.diameters(keys, mesh.nodes), "key")
     return _rounded(both.select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), "x", "y", "h"), "x", "y", "h", digits=9)
 
 
+@query(f"select u, w from (select distinct u, w from {EDGES}) join {NODES} p on u = p.node join {NODES} q on w = q.node where p.x <= p.y and q.x <= q.y")
+def locate_entities(spark: SparkSession, d: str) -> DataFrame:
+    return topology.locate_entities(_square(spark, d), 1, F.col("x") <= F.col("y")).select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"))
+
+
+@query(f"select node from {NODES}, {SIDE} where x < 0.5 and (iy = 0 or iy = s or ix = 0)")
+def locate_entities_boundary(spark: SparkSession, d: str) -> DataFrame:
+    return topology.locate_entities_boundary(_square(spark, d), 0, F.col("x") < 0.5).select(F.col("key")[0].alias("node"))
+
+
 #: Triangles with corners (el), and a row for each corner with its scaled gradient (loc).
 LOCAL = f"""with tri as materialized {TRIANGLES}, nod as materialized {NODES},
 el as materialized (select cell, a, b, c, p.x as x0, p.y as y0, q.x as x1, q.y as y1, r.x as x2, r.y as y2, abs((q.x - p.x) * (r.y - p.y) - (r.x - p.x) * (q.y - p.y)) as det
@@ -323,45 +329,435 @@ loc as materialized (select a as n, y1 - y2 as gy, x2 - x1 as gx, cell, det from
 
 @query(f"{LOCAL} select s.n as i, t.n as j, round(sum((s.gx * t.gx + s.gy * t.gy) / (2 * s.det)), 6) + 0.0 as v from loc s join loc t on s.cell = t.cell group by 1, 2")
 def p1_stiffness(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(forms.assemble(forms.stiffness(), _square(spark)), "v")
+    return _rounded(forms.assemble(forms.stiffness(), _square(spark, d)), "v")
 
 
 @query(f"{LOCAL} select s.n as i, t.n as j, round(sum(s.det * case when s.n = t.n then 2 else 1 end / 24), 10) as v from loc s join loc t on s.cell = t.cell group by 1, 2")
 def p1_mass(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(forms.assemble(forms.mass(), _square(spark)), "v", digits=10)
+    return _rounded(forms.assemble(forms.mass(), _square(spark, d)), "v", digits=10)
 
 
 @query(f"{LOCAL} select n as i, round(sum(3 * det / 6), 12) as v from loc group by 1")
 def p1_load(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(forms.assemble(forms.load(3.0), _square(spark)), "v", digits=12)
+    return _rounded(forms.assemble(forms.load(3.0), _square(spark, d)), "v", digits=12)
 
 
 @query(f"{LOCAL} select 'area' as what, round(sum(det) / 2 / 3, 9) as v from loc union all select 'nodes', round(sum(x), 9) from nod")
 def functionals(spark: SparkSession, d: str) -> DataFrame:
-    mesh = _square(spark)
+    mesh = _square(spark, d)
     area = assembly.total(mesh).select(F.lit("area").alias("what"), F.round("value", 9).alias("v"))
     return area.union(forms.assemble(forms.nodal_sum(F.col("x")), mesh).select(F.lit("nodes"), F.round("v", 9)))
 
 
-@query("select 16 * 16 * 2 * 4::bigint as cells, 33 * 33::bigint as nodes, 1.0::double as area")
-def refine_uniform(spark: SparkSession, d: str) -> DataFrame:
-    fine, _ = refinement.uniform(generate.rectangle(spark, 16, 16))
-    sizes = fine.cells.agg(F.count("*").alias("cells")).join(fine.nodes.agg(F.count("*").alias("nodes")))
-    return sizes.join(assembly.total(fine).select(F.round("value", 9).alias("area")))
+#: The six points of a quadratic triangle on a grid of half the width, by cell and local number: corners, then middles of the edges opposite them.
+SIX = f"""pt as materialized (select cell, s, 2 * (a % (s + 1)) as ax, 2 * (a // (s + 1)) as ay, 2 * (b % (s + 1)) as bx, 2 * (b // (s + 1)) as "by", 2 * (c % (s + 1)) as cx, 2 * (c // (s + 1)) as cy from {TRIANGLES}, {SIDE}),
+six as materialized (select cell, s, 0 as k, ax as hx, ay as hy from pt union all select cell, s, 1, bx, "by" from pt union all select cell, s, 2, cx, cy from pt
+  union all select cell, s, 3, (bx + cx) // 2, ("by" + cy) // 2 from pt union all select cell, s, 4, (ax + cx) // 2, (ay + cy) // 2 from pt union all select cell, s, 5, (ax + bx) // 2, (ay + "by") // 2 from pt)"""
 
 
-@query()
-def refine_plaza(spark: SparkSession, d: str) -> DataFrame:
-    """Edges near a corner marked; (child, parent) of the conforming refinement."""
-    mesh = generate.rectangle(spark, 16, 16)
-    marked = topology.locate_entities(mesh, 1, (F.col("x") <= 0.25) & (F.col("y") <= 0.25))
-    return refinement.plaza(mesh, marked)[1].select(F.col("child").cast("bigint").alias("child"), "parent")
+def _half_grid(space: spaces.FunctionSpace, n: int, name: str = "dof") -> DataFrame:
+    """(dof, hx, hy): where dofs stand on a grid of half the cells' width."""
+    return space.tabulate_dof_coordinates().select(F.col("dof").alias(name), *(F.round(F.col(c) * 2 * n).cast("bigint").alias(f"h{c}") for c in "xy"))
+
+
+def _by_place(rows: DataFrame, space: spaces.FunctionSpace, n: int) -> DataFrame:
+    """Values (i, v) by the places of their dofs."""
+    return rows.join(_half_grid(space, n, "i"), "i").select("hx", "hy", "v")
+
+
+@query(f"with {SIX} select hx, hy, count(*) as n from six group by 1, 2")
+def p2_dofmap(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells each dof of a quadratic space is in."""
+    space = spaces.functionspace(_square(spark, d), ("P", 2))
+    cells = spaces.transposed_dofmap(space.dofmap).groupBy("dof").agg(F.count("*").alias("n"))
+    return cells.join(_half_grid(space, _side(spark, d)), "dof").select("hx", "hy", "n")
+
+
+@query(f"with {SIX} select p.hx as ix, p.hy as iy, q.hx as jx, q.hy as jy, round(sum(case when p.k = q.k and p.k < 3 then 6 when p.k < 3 and q.k < 3 then -1 when p.k = q.k then 32 when p.k > 2 and q.k > 2 then 16 when abs(p.k - q.k) = 3 then -4 else 0 end / (360.0 * p.s * p.s)), 10) + 0.0 as v from six p join six q on p.cell = q.cell group by 1, 2, 3, 4")
+def p2_mass(spark: SparkSession, d: str) -> DataFrame:
+    n, space = _side(spark, d), spaces.functionspace(_square(spark, d), ("P", 2))
+    a = weak.assemble(TrialFunction(space) * TestFunction(space) * dx)
+    at = numbering.reliable(_half_grid(space, n))
+    i, j = (at.select(F.col("dof").alias(k), F.col("hx").alias(f"{k}x"), F.col("hy").alias(f"{k}y")) for k in "ij")
+    return _rounded(a.join(i, "i").join(j, "j").select("ix", "iy", "jx", "jy", "v"), "v", digits=10)
+
+
+@query(f"with {SIX} select hx, hy, round(sum(case when k < 3 then 0 else 1 end / (6.0 * s * s)), 12) + 0.0 as v from six group by 1, 2")
+def p2_load(spark: SparkSession, d: str) -> DataFrame:
+    space = spaces.functionspace(_square(spark, d), ("P", 2))
+    return _rounded(_by_place(weak.assemble(weak.lift(1.0) * TestFunction(space) * dx), space, _side(spark, d)), "v", digits=12)
+
+
+CORNERS_OF_QUADS = f"(select ix * s + iy as cell, s, px, py, (ix + px) * (s + 1) + iy + py as n from {GRID}, range(2) p(px), range(2) q(py))"
+
+
+@query(f"select a.n as i, b.n as j, round(sum(case when a.px = b.px then 2 else 1 end * case when a.py = b.py then 2 else 1 end / (36.0 * a.s * a.s)), 12) as v from {CORNERS_OF_QUADS} a join {CORNERS_OF_QUADS} b on a.cell = b.cell group by 1, 2")
+def q1_mass(spark: SparkSession, d: str) -> DataFrame:
+    n = _side(spark, d)
+    space = spaces.functionspace(generate.rectangle(spark, n, n, "quadrilateral"), ("Q", 1))
+    return _rounded(weak.assemble(TrialFunction(space) * TestFunction(space) * dx), "v", digits=12)
+
+
+@query(f"select a.n as i, b.n as j, round(sum((case when a.px = b.px then 1 else -1 end * case when a.py = b.py then 2 else 1 end + case when a.py = b.py then 1 else -1 end * case when a.px = b.px then 2 else 1 end) / 6.0), 9) + 0.0 as v from {CORNERS_OF_QUADS} a join {CORNERS_OF_QUADS} b on a.cell = b.cell group by 1, 2")
+def q1_stiffness(spark: SparkSession, d: str) -> DataFrame:
+    n = _side(spark, d)
+    space = spaces.functionspace(generate.rectangle(spark, n, n, "quadrilateral"), ("Q", 1))
+    return _rounded(weak.assemble(inner(grad(TrialFunction(space)), grad(TestFunction(space))) * dx), "v", digits=9)
+
+
+@query("select * from (values ('hexahedron', 1.0, 0.25, 6.0, 3.0), ('prism', 1.0, 0.25, 6.0, 3.0), ('quadrilateral', 1.0, 0.25, 4.0, 2.0), ('tetrahedron', 1.0, 0.25, 6.0, 3.0)) t(cell, size, moment, surface, flux)")
+def functionals_by_cell_type(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes, an integral of x y, surfaces, and the flux of x through the boundary, of the unit square and cube in cells of each type."""
+    n, m, out = _side(spark, d), _side_3(spark, d), None
+    meshes = [generate.rectangle(spark, n, n, "quadrilateral"), *(generate.box(spark, m, m, m, c) for c in ("tetrahedron", "hexahedron", "prism"))]
+    x = Position()
+    for mesh in meshes:
+        found = None
+        for name, form in (("size", weak.lift(1.0) * dx), ("moment", x[0] * x[1] * dx), ("surface", weak.lift(1.0) * ds), ("flux", dot(x, Normal()) * ds)):
+            one = weak.assemble(form.on(mesh)).select(F.lit(mesh.cell_type).alias("cell"), F.round("v", 9).alias(name))
+            found = one if found is None else found.join(one, "cell")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"with e as materialized (select u, w from {EDGES} group by 1, 2 having count(*) = 1) select n as i, round(sum(1.0 / (2 * s)), 10) as v from (select u as n from e union all select w from e), {SIDE} group by 1")
+def exterior_facet_load(spark: SparkSession, d: str) -> DataFrame:
+    space = spaces.functionspace(_square(spark, d), ("P", 1))
+    # dofs off the boundary get zeros of the cells beside it
+    return _rounded(weak.assemble(weak.lift(1.0) * TestFunction(space) * ds).where("abs(v) > 1e-14"), "v", digits=10)
+
+
+INSIDE = f"inside as materialized (select min(cell) as c0, max(cell) as c1, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) as len from {EDGES} join {NODES} p on u = p.node join {NODES} q on w = q.node group by u, w, p.x, p.y, q.x, q.y having count(*) = 2)"
+
+
+@query(f"with {INSIDE} select i, j, round(sum(v), 10) as v from (select c0 as i, c0 as j, len as v from inside union all select c1, c1, len from inside union all select c0, c1, -len from inside union all select c1, c0, -len from inside) group by 1, 2")
+def interior_facet_jumps(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of jumps of cell values over interior facets."""
+    space = spaces.functionspace(_square(spark, d), ("DG", 0))
+    return _rounded(weak.assemble(jump(TrialFunction(space)) * jump(TestFunction(space)) * dS), "v", digits=10)
+
+
+@query(f"with {INSIDE} select i, round(sum(v), 10) + 0.0 as v from (select c0 as i, len as v from inside union all select c1, len from inside) group by 1")
+def interior_facet_vector(spark: SparkSession, d: str) -> DataFrame:
+    space = spaces.functionspace(_square(spark, d), ("DG", 0))
+    v = TestFunction(space)
+    return _rounded(weak.assemble((v("+") + v("-")) * dS), "v", digits=10)
+
+
+@query(f"with {INSIDE} select distinct i, j from (select c0 as i, c0 as j from inside union all select c1, c1 from inside union all select c0, c1 from inside union all select c1, c0 from inside)")
+def interior_facet_sparsity(spark: SparkSession, d: str) -> DataFrame:
+    space = spaces.functionspace(_square(spark, d), ("DG", 0))
+    return weak.sparsity(jump(TrialFunction(space)) * jump(TestFunction(space)) * dS)
+
+
+THREE = f"three as materialized (select cell, s, n, 1 + x + 2 * y as f from (select cell, a as n from {TRIANGLES} union all select cell, b from {TRIANGLES} union all select cell, c from {TRIANGLES}) join {NODES} on n = node, {SIDE})"
+
+
+@query(f"with {THREE} select p.n as i, q.n as j, round(sum(case when p.n = q.n and q.n = r.n then 6 when p.n = q.n or q.n = r.n or p.n = r.n then 2 else 1 end * r.f / (120.0 * p.s * p.s)), 11) as v from three p join three q on p.cell = q.cell join three r on p.cell = r.cell group by 1, 2")
+def weighted_mass(spark: SparkSession, d: str) -> DataFrame:
+    """A mass matrix with a field as weight."""
+    space = spaces.functionspace(_square(spark, d), ("P", 1))
+    f = Field(spaces.interpolate(space, 1 + F.col("x") + 2 * F.col("y")))
+    return _rounded(weak.assemble(f * TrialFunction(space) * TestFunction(space) * dx), "v", digits=11)
+
+
+@query(f"select cell, round(1 + p.x + 2 * p.y, 9) as w0, round(1 + q.x + 2 * q.y, 9) as w1, round(1 + r.x + 2 * r.y, 9) as w2 from {TRIANGLES} join {NODES} p on a = p.node join {NODES} q on b = q.node join {NODES} r on c = r.node")
+def pack_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    space = spaces.functionspace(_square(spark, d), ("P", 1))
+    f = spaces.interpolate(space, 1 + F.col("x") + 2 * F.col("y"))
+    return f.packed().select("cell", *(F.round(F.col("w")[k], 9).alias(f"w{k}") for k in range(3)))
+
+
+@query(f"with t as (select cell, a, b, c from {TRIANGLES} join {NODES} p on a = p.node join {NODES} q on b = q.node join {NODES} r on c = r.node where p.x <= 0.5 and q.x <= 0.5 and r.x <= 0.5) select n as i, round(sum(1 / (6.0 * s * s)), 11) as v from (select a as n from t union all select b from t union all select c from t), {SIDE} group by 1")
+def load_over_tagged_cells(spark: SparkSession, d: str) -> DataFrame:
+    mesh = _square(spark, d)
+    half = topology.locate_entities(mesh, 2, F.col("x") <= 0.5)
+    tags = topology.cell_entities(mesh, 2).join(half, "key").select("cell", F.lit(7).alias("value"))
+    return _rounded(weak.assemble(weak.lift(1.0) * TestFunction(spaces.functionspace(mesh, ("P", 1))) * dx(7, tags)), "v", digits=11)
+
+
+@query(f"select node as i, round(case when ix in (0, s) then 1 else 2 end / (2.0 * s), 10) as v from {NODES}, {SIDE} where iy = s")
+def load_over_tagged_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged facets inside don't count for an integral over the boundary."""
+    mesh = _square(spark, d)
+    tags = topology.locate_entities(mesh, 1, F.col("y") > 0.5).select("key", F.when(F.col("key")[0] >= 0, 3).alias("value"))
+    top = topology.locate_entities(mesh, 1, F.col("y") > 1 - 1e-9).select("key")
+    inner_ones = tags.join(top, "key", "left_anti").where(F.size("key") == 2).join(topology.interior_facets(mesh).select("key"), "key", "left_semi")
+    both = top.select("key", F.lit(3).alias("value")).unionByName(inner_ones)
+    return _rounded(weak.assemble(weak.lift(1.0) * TestFunction(spaces.functionspace(mesh, ("P", 1))) * ds(3, both)).where("abs(v) > 1e-14"), "v", digits=10)
 
 
-@query(f"select node as i, round(1 + x + 2 * y, 6) as v from {NODES.replace('65', '9').replace('64.0', '8.0').replace('4225', '81')}")
+@query(f"select 0::bigint as hx, unnest(range(2 * s + 1)) as hy from {SIDE}")
+def locate_dofs_topological(spark: SparkSession, d: str) -> DataFrame:
+    mesh = _square(spark, d)
+    space = spaces.functionspace(mesh, ("P", 2))
+    found = spaces.locate_dofs_topological(space, 1, topology.locate_entities_boundary(mesh, 1, F.col("x") < 1e-9))
+    return found.join(_half_grid(space, _side(spark, d)), "dof").select("hx", "hy")
+
+
+@query(f"select 0::bigint as hx, unnest(range(2 * s + 1)) as hy from {SIDE}")
+def locate_dofs_geometrical(spark: SparkSession, d: str) -> DataFrame:
+    space = spaces.functionspace(_square(spark, d), ("P", 2))
+    return spaces.locate_dofs_geometrical(space, F.col("x") < 1e-9).join(_half_grid(space, _side(spark, d)), "dof").select("hx", "hy")
+
+
+@query(f"select 2 * node + 1 as dof, round(y, 9) as g from {NODES} where ix = 0")
+def dirichletbc_of_component(spark: SparkSession, d: str) -> DataFrame:
+    mesh = _square(spark, d)
+    part = spaces.functionspace(mesh, ("P", 1, (2,))).sub(1)
+    left = spaces.locate_dofs_topological(part, 1, topology.locate_entities_boundary(mesh, 1, F.col("x") < 1e-9))
+    return _rounded(spaces.dirichletbc(F.col("y"), left, part), "g", digits=9)
+
+
+@query(f"with {SIX}, m as (select hx, hy, min(cell) as cell, min_by(k, cell) as k from six group by 1, 2) select m.hx, m.hy, round(case when k < 3 then m.hx * m.hy / (4.0 * s * s) when k = 3 then (bx * \"by\" + cx * cy) / (8.0 * s * s) when k = 4 then (ax * ay + cx * cy) / (8.0 * s * s) else (ax * ay + bx * \"by\") / (8.0 * s * s) end, 10) as v from m join pt on m.cell = pt.cell")
+def interpolate_between_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """x y at the nodes, linear in between, in a quadratic space."""
+    mesh = _square(spark, d)
+    one, two = spaces.functionspace(mesh, ("P", 1)), spaces.functionspace(mesh, ("P", 2))
+    f = spaces.interpolate_function(two, spaces.interpolate(one, F.col("x") * F.col("y")))
+    return _rounded(_by_place(f.values, two, _side(spark, d)), "v", digits=10)
+
+
+@query(f"with {SIX} select distinct p.hx, p.hy, q.hx // 2 + q.hy // 2 * (p.s + 1) as j, case when p.k < 3 then 1.0 else 0.5 end::double as v from six p join six q on p.cell = q.cell and q.k < 3 where p.k = q.k or (p.k > 2 and p.k - 3 != q.k)")
+def interpolation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    mesh = _square(spark, d)
+    one, two = spaces.functionspace(mesh, ("P", 1)), spaces.functionspace(mesh, ("P", 2))
+    m = spaces.interpolation_matrix(two, one).join(_half_grid(two, _side(spark, d), "i"), "i")
+    return _rounded(m.select("hx", "hy", "j", "v"), "v")
+
+
+@query(f"select u, w, round(p.x * q.y - q.x * p.y, 10) + 0.0 as v from (select distinct u, w from {EDGES}) join {NODES} p on u = p.node join {NODES} q on w = q.node")
+def edge_element_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    """Integrals of a turning field along edges: the dofs of the lowest edge elements."""
+    mesh = _square(spark, d)
+    space = spaces.functionspace(mesh, ("N1curl", 1))
+    dofs = space.dofmap.select("cell", F.posexplode("dofs").alias("local", "i"))
+    keys = topology.cell_entities(mesh, 1).join(dofs, ["cell", "local"]).select("key", "i").distinct()
+    found = spaces.interpolate(space, [-F.col("y"), F.col("x")]).values.join(keys, "i")
+    return _rounded(found.select(F.col("key")[0].alias("u"), F.col("key")[1].alias("w"), "v"), "v", digits=10)
+
+
+@query(f"select cell as i, round(3 / (2.0 * s * s), 10) as v from {TRIANGLES}, {SIDE}")
+def facet_element_divergence(spark: SparkSession, d: str) -> DataFrame:
+    mesh = _square(spark, d)
+    f = Field(spaces.interpolate(spaces.functionspace(mesh, ("RT", 1)), [F.col("x"), 2 * F.col("y")]))
+    return _rounded(weak.assemble(div(f) * TestFunction(spaces.functionspace(mesh, ("DG", 0))) * dx), "v", digits=10)
+
+
+#: Points that are on no line of the grid; doubles are the same in both engines.
+POINTS = "(select c_custkey::bigint as point, c_custkey * 0.618033988749895::double - floor(c_custkey * 0.618033988749895::double) as x, c_custkey * 0.754877666246693::double - floor(c_custkey * 0.754877666246693::double) as y from customer)"
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "customer").selectExpr("cast(c_custkey as bigint) as point", *(f"c_custkey * {c}D - floor(c_custkey * {c}D) as {k}" for k, c in (("x", 0.618033988749895), ("y", 0.754877666246693))), "0D as z")
+
+
+def _cells_with_points(mesh: generate.Mesh) -> DataFrame:
+    return topology.with_points(mesh.cells, "vertices", mesh.nodes, ["cell"], meta.N_VERTICES[mesh.cell_type])
+
+
+@query(f"select point, (floor(y * s)::bigint * s + floor(x * s)::bigint) * 2 + case when x * s - floor(x * s) >= y * s - floor(y * s) then 0 else 1 end as cell from {POINTS}, {SIDE}")
+def point_ownership(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.point_ownership(_cells_with_points(_square(spark, d)), _points(spark, d)).select("point", F.col("cell").cast("bigint").alias("cell"))
+
+
+@query(f"select point, (floor(y * s)::bigint * s + floor(x * s)::bigint) * 2 + case when x * s - floor(x * s) >= y * s - floor(y * s) then 0 else 1 end as cell from {POINTS}, {SIDE}")
+def colliding_cells(spark: SparkSession, d: str) -> DataFrame:
+    mesh, points = _square(spark, d), _points(spark, d)
+    cells = _cells_with_points(mesh)
+    frame = geometry.boxes(cells.select("cell", F.explode("points").alias("p")).select("cell", "p.x", "p.y", "p.z"), "cell")
+    hits = geometry.colliding_cells(cells, geometry.points_in_boxes(frame, points), points)
+    return geometry.first_colliding_cell(hits, points).select("point", F.col("cell").cast("bigint").alias("cell"))
+
+
+@query(f"select point, round(1 + x * x + 2 * y * y, 7) as v from {POINTS}")
+def evaluate_field(spark: SparkSession, d: str) -> DataFrame:
+    """A quadratic field at points, by its values at dofs."""
+    mesh, points = _square(spark, d), _points(spark, d)
+    f = spaces.interpolate(spaces.functionspace(mesh, ("P", 2)), 1 + F.col("x") ** 2 + 2 * F.col("y") ** 2)
+    owned = geometry.point_ownership(_cells_with_points(mesh), points).select("point", "cell")
+    return f.eval(points.join(owned, "point")).select("point", F.round(F.col("v")[0], 7).alias("v"))
+
+
+@query("select v as i, round(1 + pow((v % 8) / 7.0, 2) + 2 * pow((v // 8) / 5.0, 2), 7) as v from range(48) t(v)")
+def interpolate_nonmatching(spark: SparkSession, d: str) -> DataFrame:
+    """A field of one mesh at the nodes of another."""
+    f = spaces.interpolate(spaces.functionspace(_square(spark, d), ("P", 2)), 1 + F.col("x") ** 2 + 2 * F.col("y") ** 2)
+    other = spaces.functionspace(generate.rectangle(spark, 7, 5), ("P", 1))
+    return _rounded(spaces.interpolate_nonmatching(other, f).values, "v", digits=7)
+
+
+@query(f"select cell, round(2 * (p.x + q.x + r.x) / 3, 8) + 0.0 as gx, round(4 * (p.y + q.y + r.y) / 3, 8) + 0.0 as gy from {TRIANGLES} join {NODES} p on a = p.node join {NODES} q on b = q.node join {NODES} r on c = r.node")
+def tabulate_expression(spark: SparkSession, d: str) -> DataFrame:
+    """The gradient of a quadratic field in the middle of each cell."""
+    mesh = _square(spark, d)
+    f = Field(spaces.interpolate(spaces.functionspace(mesh, ("P", 2)), 1 + F.col("x") ** 2 + 2 * F.col("y") ** 2))
+    found = weak.tabulate(grad(f), [[1 / 3, 1 / 3]], mesh)
+    return _rounded(found.select("cell", F.col("v")[0].alias("gx"), F.col("v")[1].alias("gy")), "gx", "gy", digits=8)
+
+
+@query(f"with e as (select u, w, row_number() over (order by u, w) - 1 as entity from (select distinct u, w from {EDGES})) select entity as i, u as j, -1.0::double as v from e union all select entity, w, 1.0 from e")
+def discrete_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.discrete_gradient(topology.entities(_square(spark, d), 1))
+
+
+@query(f"with e as (select u, w, row_number() over (order by u, w) - 1 as entity from (select distinct u, w from {EDGES})) select cell as e0, entity as e1 from {EDGES} f join e on f.u = e.u and f.w = e.w")
+def mesh_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of cells; cells are numbered by their vertices' order, so they are told by these."""
+    mesh = _square(spark, d)
+    numbered = topology.entities(mesh, 2)
+    cells = topology.cell_entities(mesh, 2).join(numbered, "key").select("cell", "entity")
+    found = topology.connectivity(mesh, 2, 1).join(cells, F.col("e0") == F.col("entity"))
+    return found.select(F.col("cell").alias("e0"), F.col("e1").cast("bigint").alias("e1"))
+
+
+@query(f"select cell, 0 as local, b > c as reflected from {TRIANGLES} union all select cell, 1, a > c from {TRIANGLES} union all select cell, 2, a > b from {TRIANGLES}")
+def edge_reflections(spark: SparkSession, d: str) -> DataFrame:
+    return topology.edge_reflections(_square(spark, d))
+
+
+@query(f"select row_number() over (order by a, least(b, c), greatest(b, c)) - 1 as cell, a, least(b, c) as b, greatest(b, c) as c from {TRIANGLES} join {NODES} p on a = p.node join {NODES} q on b = q.node join {NODES} r on c = r.node where p.x <= 0.5 and q.x <= 0.5 and r.x <= 0.5")
+def submesh(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a part of the mesh, numbered anew, with the parent's vertices."""
+    mesh = _square(spark, d)
+    _, parents, _ = topology.submesh(mesh, topology.locate_entities(mesh, 2, F.col("x") <= 0.5), "triangle")
+    return parents.select(F.col("sub").cast("bigint").alias("cell"), *(F.col("parent")[k].alias(c) for k, c in enumerate("abc")))
+
+
+@query(f"select node, round(x, 9) as x, round(y, 9) as y from {NODES}, {SIDE} where ix in (0, s) or iy in (0, s)")
+def boundary_vertex_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    mesh = _square(spark, d)
+    return _rounded(topology.vertex_coordinates(mesh, topology.exterior_facets(mesh)).select("node", "x", "y"), "x", "y", digits=9)
+
+
+@query(f"select (i * 7) // n as part, count(*) as cells from (select n, unnest(range(n)) as i from (select 2 * s * s as n from {SIDE})) group by 1")
+def partition_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of parts along a curve."""
+    return partition.partition_cells(_square(spark, d), 7).groupBy(F.col("part").cast("bigint").alias("part")).agg(F.count("*").alias("cells"))
+
+
+@query(f"with t as (select cell, case when ix < s / 2.0 then 0 else 1 end as part from (select (iy * s + ix) * 2 + k as cell, ix, s from {GRID}, range(2) t(k))) select distinct e.cell as node, g.part from {EDGES} e join {EDGES} f on e.u = f.u and e.w = f.w and e.cell != f.cell join t h on e.cell = h.cell join t g on f.cell = g.cell where g.part != h.part")
+def ghost_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that another part needs, across a cut in the middle."""
+    mesh, n = _square(spark, d), _side(spark, d)
+    parts = mesh.cells.selectExpr("cell as node", f"if((cell div 2) % {n} < {n} / 2.0, 0, 1) as part")
+    return partition.destinations(partition.cell_graph(mesh), parts).where("ghost").select("node", F.col("part").cast("int").alias("part"))
+
+
+@query("select x + y * 9 as node, (x + y)::int as level from range(9) a(x), range(9) b(y)")
+def breadth_first_levels(spark: SparkSession, d: str) -> DataFrame:
+    mesh = generate.rectangle(spark, 8, 8, "quadrilateral")
+    edges = topology.cell_entities(mesh, 1).select(F.col("key")[0].alias("a"), F.col("key")[1].alias("b")).distinct()
+    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a"))
+    found = topology.levels(both, spark.createDataFrame([(0,)], "node bigint"))
+    return found.select(F.expr("node div 9 + node % 9 * 9").alias("node"), "level")
+
+
+@query(f"select i // 2 as bi, j // 3 as bj, round(coalesce(sum(v) filter (where i % 2 = 0 and j % 3 = 0), 0), 4) as first, round(coalesce(sum(v) filter (where i % 2 = 1 and j % 3 = 2), 0), 4) as last, round(sum(v), 4) as total from {COO} group by 1, 2")
+def blocked_matrix(spark: SparkSession, d: str) -> DataFrame:
+    blocks = sparse.blocked(sparse.assembled(_supply(spark, d)), 2, 3)
+    return blocks.select("bi", "bj", F.round(F.col("values")[0], 4).alias("first"), F.round(F.col("values")[5], 4).alias("last"), F.round(F.aggregate("values", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query(f"with n as (select max(l_partkey)::bigint + 1 as n from lineitem) select i, j + n as j, round(v, 4) as v from {COO}, n union all select j + n, i, round(v, 4) from {COO}, n")
+def block_system(spark: SparkSession, d: str) -> DataFrame:
+    """A saddle-point system of a matrix and its transpose."""
+    a = sparse.assembled(_supply(spark, d))
+    n = a.agg(F.max("i") + 1).first()[0]
+    return _rounded(sparse.block_system([[None, a], [sparse.transpose(a), None]], [n, n], [n, n]), "v", digits=4)
+
+
+@query(f"with {SIX}, child as (select cell, 0 as k, unnest([0, 5, 4]) as at from pt union all select cell, 1, unnest([1, 5, 3]) from pt union all select cell, 2, unnest([2, 4, 3]) from pt union all select cell, 3, unnest([3, 4, 5]) from pt) select c.cell as parent, sum(hx)::bigint as sx, sum(hy)::bigint as sy, min(hx) as mx, min(hy) as my from child c join six on c.cell = six.cell and c.at = six.k group by c.cell, c.k")
+def refine_uniform(spark: SparkSession, d: str) -> DataFrame:
+    """Children of every cell, by the places of their vertices."""
+    fine, parents = refinement.uniform(_square(spark, d))
+    n = _side(spark, d)
+    at = fine.nodes.select("node", *(F.round(F.col(c) * 2 * n).cast("bigint").alias(f"h{c}") for c in "xy"))
+    each = fine.cells.select(F.col("cell").alias("child"), F.explode("vertices").alias("node")).join(at, "node")
+    sums = each.groupBy("child").agg(F.sum("hx").alias("sx"), F.sum("hy").alias("sy"), F.min("hx").alias("mx"), F.min("hy").alias("my"))
+    return sums.join(parents, "child").select("parent", "sx", "sy", "mx", "my")
+
+
+@query(f"select cell, (k * s * s * s * 8)::bigint as cells, case when cell = 'tetrahedron' then (s + 1) * (s + 1) * (s + 1) + 3 * s * (s + 1) * (s + 1) + 3 * s * s * (s + 1) + s * s * s else (2 * s + 1) * (2 * s + 1) * (2 * s + 1) end as nodes, 1.0::double as volume from {SIDE_3}, (values ('tetrahedron', 6), ('hexahedron', 1), ('prism', 2)) t(cell, k)")
+def refine_uniform_3d(spark: SparkSession, d: str) -> DataFrame:
+    n, out = _side_3(spark, d), None
+    for cell in ("tetrahedron", "hexahedron", "prism"):
+        fine, _ = refinement.uniform(generate.box(spark, n, n, n, cell))
+        sizes = fine.cells.agg(F.count("*").alias("cells")).join(fine.nodes.agg(F.count("*").alias("nodes")))
+        found = sizes.join(weak.assemble((weak.lift(1.0) * dx).on(fine))).select(F.lit(cell).alias("cell"), "cells", "nodes", F.round("v", 9).alias("volume"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query(f"with m as materialized (select distinct u, w, p.ix != q.ix and p.iy != q.iy as long from {EDGES} join {NODES} p on u = p.node join {NODES} q on w = q.node where p.x <= 0.25 and p.y <= 0.25 and q.x <= 0.25 and q.y <= 0.25), t as (select e.cell, count(m.u) as n, coalesce(bool_or(m.long), false) as long from {EDGES} e left join m on e.u = m.u and e.w = m.w group by 1), l as (select e.cell, e.u, e.w from {EDGES} e join {NODES} p on u = p.node join {NODES} q on w = q.node where p.ix != q.ix and p.iy != q.iy), forced as (select distinct l.u, l.w from l join t on l.cell = t.cell where t.n > 0) select t.cell as parent, 1 + t.n + case when not t.long and f.u is not null then 1 else 0 end as children from t join l on t.cell = l.cell left join forced f on l.u = f.u and l.w = f.w")
+def refine_plaza(spark: SparkSession, d: str) -> DataFrame:
+    """Edges near a corner marked; how many children each cell has."""
+    mesh = _square(spark, d)
+    marked = topology.locate_entities(mesh, 1, (F.col("x") <= 0.25) & (F.col("y") <= 0.25))
+    return refinement.plaza(mesh, marked)[1].groupBy("parent").agg(F.count("*").alias("children"))
+
+
+@query("select 1.0::double as volume, 6.0::double as surface, 2::bigint as most")
+def refine_plaza_3d(spark: SparkSession, d: str) -> DataFrame:
+    """Marked tetrahedra still fill the cube, facets fit on each other, and no more than two cells share one."""
+    n = 2 * _side_3(spark, d)
+    mesh = generate.box(spark, n, n, n)
+    marked = topology.locate_entities(mesh, 1, (F.col("x") <= 0.5) & (F.col("y") <= 0.5) & (F.col("z") <= 0.5))
+    fine, _ = refinement.plaza(mesh, marked)
+    sizes = weak.assemble((weak.lift(1.0) * dx).on(fine)).select(F.round("v", 9).alias("volume")).join(weak.assemble((weak.lift(1.0) * ds).on(fine)).select(F.round("v", 9).alias("surface")))
+    return sizes.join(topology.facet_counts(fine).agg(F.max("n").alias("most")))
+
+
+@query(f"select value, 2 * s as facets from {SIDE}, range(1, 5) t(value)")
+def transfer_facet_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Each side of the square keeps its tag through refinement; a facet has two children."""
+    mesh = _square(spark, d)
+    sides = {1: F.col("x") < 1e-9, 2: F.col("x") > 1 - 1e-9, 3: F.col("y") < 1e-9, 4: F.col("y") > 1 - 1e-9}
+    tags = None
+    for value, where in sides.items():
+        own = topology.locate_entities_boundary(mesh, 1, where).select("key", F.lit(value).cast("bigint").alias("value"))
+        tags = own if tags is None else tags.union(own)
+    fine, parents = refinement.refine(mesh)
+    found = refinement.transfer_facet_tags(numbering.reliable(tags), mesh, fine, parents)
+    return found.groupBy("value").agg(F.count("*").alias("facets"))
+
+
+@query("select v as i, round(1 + (v % 9) / 8.0 + 2 * (v // 9) / 8.0, 6) as v from range(81) t(v)")
 def poisson_linear_field(spark: SparkSession, d: str) -> DataFrame:
     """The Laplace problem with a linear field on the boundary has that field as its solution."""
     mesh = generate.rectangle(spark, 8, 8)
     edge = topology.exterior_facets(mesh).select(F.explode("key").alias("node")).distinct()
     bc = mesh.nodes.join(edge, "node").select(F.col("node").alias("dof"), (1 + F.col("x") + 2 * F.col("y")).alias("g"))
     return _rounded(forms.solve_linear(forms.stiffness(), forms.load(0.0), mesh, bc)[0].select("i", "v"), "v")
+
+
+@query("select hx, hy, round(1 + pow(hx / 12.0, 2) + 2 * pow(hy / 12.0, 2), 6) as v from range(13) a(hx), range(13) b(hy)")
+def poisson_quadratic_field(spark: SparkSession, d: str) -> DataFrame:
+    """A quadratic space holds the solution of -div grad u = -6 exactly."""
+    space = spaces.functionspace(generate.rectangle(spark, 6, 6), ("P", 2))
+    edge = spaces.locate_dofs_topological(space, 1, topology.exterior_facets(space.mesh).select("key"))
+    bc = spaces.dirichletbc(1 + F.col("x") ** 2 + 2 * F.col("y") ** 2, edge, space)
+    u, v = TrialFunction(space), TestFunction(space)
+    found, _ = weak.solve(inner(grad(u), grad(v)) * dx, weak.lift(-6.0) * v * dx, bc)
+    return _rounded(_by_place(found.values, space, 6), "v")
+
+
+@query("select v as i, round(1 + (v % 5) / 4.0 + 2 * (v // 5) / 4.0, 6) as v from range(25) t(v)")
+def newton_diffusion(spark: SparkSession, d: str) -> DataFrame:
+    """Newton's method for div((1 + u u) grad u) = 10 u, which a linear field solves."""
+    space = spaces.functionspace(generate.rectangle(spark, 4, 4), ("P", 1))
+    u, v = spaces.Function(space, spaces.zeros(space)), TestFunction(space)
+    x, w = Position(), Field(u)
+    residual = (1 + w * w) * inner(grad(w), grad(v)) * dx + 10 * (1 + x[0] + 2 * x[1]) * v * dx
+    edge = spaces.locate_dofs_topological(space, 1, topology.exterior_facets(space.mesh).select("key"))
+    bc = spaces.dirichletbc(1 + F.col("x") + 2 * F.col("y"), edge, space)
+    return _rounded(weak.solve_nonlinear(residual, u, bc, linear=solvers.direct)[0].values, "v")
+
+
+@query("select i, round(v, 6) as v from (values (0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)) t(i, v)")
+def gmres_solve(spark: SparkSession, d: str) -> DataFrame:
+    """A small system that isn't symmetric."""
+    rows = [(0, 0, 4.0), (0, 1, 1.0), (1, 0, -2.0), (1, 1, 5.0), (1, 2, 1.0), (2, 2, 3.0), (2, 0, 1.0), (3, 3, 2.0), (3, 1, -1.0)]
+    a = spark.createDataFrame(rows, "i bigint, j bigint, v double")
+    want = spark.createDataFrame([(k, float(k + 1)) for k in range(4)], "i bigint, v double")
+    return _rounded(solvers.gmres(a, sparse.mult(a, want))[0].select(F.col("i").cast("int").alias("i"), "v"), "v")

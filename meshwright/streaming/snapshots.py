@@ -17,6 +17,10 @@ class SnapshotWriter:
         if reuse_mesh:
             write_mesh(mesh, f"{path}/mesh")
 
+    def write_cells(self, values: DataFrame, t: float, name: str = "cell_data") -> None:
+        """Values (cell, v) at a time."""
+        values.select("cell", "v", F.lit(float(t)).alias("t")).write.mode("append").partitionBy("t").parquet(f"{self.path}/{name}")
+
     def write(self, field: DataFrame, t: float) -> None:
         if not self.reuse:
             write_mesh(self.mesh, f"{self.path}/mesh_t={t!r}")
