@@ -122,10 +122,10 @@ def cell_permutation_info(mesh: Mesh) -> DataFrame:
     """(cell, info): faces' rotations and reflections, three bits a face, then edges' reflections, a bit an edge."""
     dim = meta.DIM[mesh.cell_type]
     n_faces = meta.n_entities(mesh.cell_type, 2) if dim == 3 else 0
-    bits = edge_reflections(mesh).select("cell", F.shiftleft(F.col("reflected").cast("bigint"), F.col("local") + 3 * n_faces).alias("bit")) if dim > 1 else mesh.cells.select("cell", F.lit(0).cast("bigint").alias("bit"))
+    bits = edge_reflections(mesh).select("cell", F.expr(f"shiftleft(cast(reflected as bigint), local + {3 * n_faces})").alias("bit")) if dim > 1 else mesh.cells.select("cell", F.lit(0).cast("bigint").alias("bit"))
     if dim == 3:
-        face = (F.col("rotations") * 2 + F.col("reflected").cast("int")).cast("bigint")
-        bits = bits.unionByName(face_permutations(mesh).select("cell", F.shiftleft(face, 3 * F.col("local")).alias("bit")))
+        face = F.expr("shiftleft(cast(rotations * 2 + cast(reflected as int) as bigint), 3 * local)")
+        bits = bits.unionByName(face_permutations(mesh).select("cell", face.alias("bit")))
     return bits.groupBy("cell").agg(F.bit_or("bit").alias("info"))
 
 
