@@ -943,3 +943,62 @@ def solve_nonlinear(residual: Form, u: Function, bc: DataFrame, rtol: float = 1e
         step = linear(matrix, b) if linear else solvers.gmres(matrix, b, 1e-10)[0]
         values = reliable(values.unionByName(step.select("i", (F.col("v") * -relaxation).alias("v"))).groupBy("i").agg(F.sum("v").alias("v")))
     raise ArithmeticError(f"Newton's method didn't converge in {most} steps")
+
+
+def assemble_residual(residual: Form, u: Function, bc: DataFrame) -> DataFrame:
+    """F(u) with u - g at constrained dofs, so that a Newton step brings these to g."""
+    from meshwright.operators import assembly
+
+    at = bc.join(u.values.select(F.col("i").alias("dof"), F.col("v").alias("__u")), "dof", "left")
+    return assembly.set_bc(assemble(residual), at.select("dof", (F.coalesce("__u", F.lit(0.0)) - F.col("g")).alias("g")))
+
+
+def assemble_jacobian(residual: Form, u: Function, bc: DataFrame) -> DataFrame:
+    """The derivative of F at u, with rows and columns of constrained dofs cleared but for the diagonal."""
+    return assemble(residual.derivative(u), bc)
+
+
+def assign(x: DataFrame, fields: list[Function]) -> list[Function]:
+    """The fields with the values of a vector that holds them one after another."""
+    from meshwright.operators.sparse import split_vector
+
+    parts = split_vector(x, [f.space.size for f in fields])
+    return [Function(f.space, p) for f, p in zip(fields, parts, strict=True)]
+
+
+def joined(fields: list[Function]) -> DataFrame:
+    """One vector of the fields' values, one after another."""
+    from meshwright.operators.sparse import block_vector
+
+    return block_vector([f.values for f in fields], [f.space.size for f in fields])
+
+
+def assemble_blocks(forms: list[list[Form | None]]) -> list[list[DataFrame | None]]:
+    """The matrices of an array of forms, None where there is none."""
+    return [[assemble(f) if f is not None else None for f in line] for line in forms]
+
+
+def solve_blocks(forms: list[list[Form | None]], rhs: list[Form], bcs: list[DataFrame | None], linear: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> list[Function]:
+    """The fields of a system of forms; bcs: conditions (dof, g) of each space by its own numbers, or None."""
+    from meshwright.operators import assembly, solvers, sparse
+    from meshwright.operators.numbering import reliable
+
+    columns = extract_function_spaces(forms, 1)
+    sizes = [s.size for s in extract_function_spaces(forms, 0)]
+    full = reliable(sparse.block_system(assemble_blocks(forms), sizes, [s.size for s in columns]))
+    b, bc, first = sparse.block_vector([assemble(f) for f in rhs], sizes), None, 0
+    for own, s in zip(bcs, columns, strict=True):
+        if own is not None:
+            moved = own.select((F.col("dof") + first).alias("dof"), "g")
+            bc = moved if bc is None else bc.unionByName(moved)
+        first += s.size
+    if bc is not None:
+        b = assembly.set_bc(assembly.apply_lifting(b, full, bc), bc)
+        full = assembly.assemble_matrix(full, bc)
+    full, b = reliable(full), reliable(b)
+    x = linear(full, b) if linear else solvers.gmres(full, b)[0]
+    return assign(x, [Function(s, zeros_of(s)) for s in columns])
+
+
+def zeros_of(space: FunctionSpace) -> DataFrame:
+    return sp.zeros(space)

@@ -237,3 +237,22 @@ def test_interpolation_between_spaces(spark):
     assert dg.element.is_cellwise and weak.interpolate_expression(dg, grad(f)[0]).values.count() == 4
     curved = spaces.interpolate_geometry(generate.rectangle(spark, 2, 2), 2)
     assert curved.nodes.count() == 25 and number((x[0] * dx).on(curved)) == pytest.approx(0.5)
+
+
+def test_blocks(spark):
+    """Two fields that know of each other: u = x y projected, and p = u + 1 by a second equation."""
+    mesh = generate.rectangle(spark, 2, 2)
+    one, two = spaces.functionspace(mesh, ("P", 2)), spaces.functionspace(mesh, ("P", 2))
+    u, v, p, q = TrialFunction(one), TestFunction(one), TrialFunction(two), TestFunction(two)
+    x = Position()
+    found = weak.solve_blocks([[u * v * dx, None], [-u * q * dx, p * q * dx]], [x[0] * x[1] * v * dx, weak.lift(1.0) * q * dx], [None, None], linear=solvers.direct)
+    want = spaces.interpolate(one, F.col("x") * F.col("y") + 1).values.withColumnRenamed("v", "w")
+    assert found[1].values.join(want, "i").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < 1e-9
+    again = weak.assign(weak.joined(found), found)
+    assert sorted(map(tuple, again[1].values.collect())) == sorted(map(tuple, found[1].values.collect()))
+    field = spaces.Function(one, spaces.zeros(one))
+    residual = (weak.Field(field) * v - x[0] * x[1] * v) * dx
+    none = spark.createDataFrame([], "dof bigint, g double")
+    step = solvers.direct(weak.assemble_jacobian(residual, field, none), weak.assemble_residual(residual, field, none))
+    exact = spaces.interpolate(one, -F.col("x") * F.col("y")).values.withColumnRenamed("v", "w")
+    assert step.join(exact, "i").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < 1e-9
