@@ -54,3 +54,19 @@ def functionspaces(meshes: list[Mesh], elements: list[FiniteElement]) -> list[Fu
         dofs = F.array(*(F.max(F.when(F.col("pos") == p, F.col("dof"))) for p in range(e.size)))
         out.append(FunctionSpace(m, e, reliable(each.where(F.col("mesh") == k).groupBy("cell").agg(dofs.alias("dofs")))))
     return out
+
+
+def assemble(forms: list) -> DataFrame:
+    """A form of each cell type, over spaces of functionspaces(), as one matrix, vector or number."""
+    from meshwright.operators import assembly
+    from meshwright.plans import weak
+
+    if len({f.rank for f in forms}) != 1:
+        raise ValueError("forms of different rank can't be added")
+    rows = None
+    for f in forms:
+        own = weak.entries(f)
+        rows = own if rows is None else rows.unionByName(own)
+    if forms[0].rank == 2:
+        return assembly.assemble_matrix(rows)
+    return assembly.assemble_vector(rows) if forms[0].rank == 1 else rows.agg(F.sum("v").alias("v"))

@@ -64,6 +64,8 @@ def test_mixed_cell_types(spark):
     assert len(dofs[0] & dofs[1]) == 3 and len(dofs[0] | dofs[1]) == 12
     total = sum(size(m) for m in meshes)
     assert total == pytest.approx(1.5)
+    mass = mixed.assemble([weak.TrialFunction(s) * weak.TestFunction(s) * dx for s in both])
+    assert mass.agg(F.sum("v")).first()[0] == pytest.approx(1.5) and mass.select("i").distinct().count() == 12
 
 
 def test_refinement_of_all_cell_types(spark):
