@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from meshwright.llm.text import CONTINUES, MIX, Words, mixed, repeats, slices, span_hash
+from meshwright.llm.text import CONTINUES, MIX, Words, mixed, repeats, slices, span_hash, tidy
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -116,7 +116,11 @@ def repetition_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of `docs` that repetition_report() keeps, with all their columns, in one pass without a shuffle."""
+    """The rows of `docs` that repetition_report() keeps, with all their columns, in one pass without a shuffle.
+
+    Null, empty and short texts go; repeated rows are judged alike. An empty
+    table gives an empty table.
+    """
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,4 +130,4 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: Rules = Rules
                 if kept.num_rows:
                     yield kept
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -50,6 +50,9 @@ def numbered(df: DataFrame) -> DataFrame:
     """The same rows with a number __row of each, written once to the shared folder and read from there.
 
     A number taken anew at each scan depends on how the scan splits its files,
-    which changes with the executors at hand.
+    which changes with the executors at hand. Names that begin with two
+    underscores are the operators' own; a table that has __row is refused.
     """
+    if "__row" in df.columns:
+        raise ValueError("rename the column __row")
     return df.sparkSession.read.parquet(store(df.withColumn("__row", F.monotonically_increasing_id())))

@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from meshwright.llm.storage import cut, drop, numbered, release, store
 from meshwright.llm.suffix_sort import deep_shallow_sort
-from meshwright.llm.text import MIX, binary, mixed, prefix_hash, repeats, slices, span_hash
+from meshwright.llm.text import MIX, binary, mixed, prefix_hash, repeats, slices, span_hash, tidy
 
 SLICE_BYTES = 500_000
 #: Contexts of whole groups that are sorted at a time, and the largest group that is.
-SORT_AT_ONCE, GROUP_MOST = 16_000, 50_000
+SORT_AT_ONCE, GROUP_MOST = 8_000, 50_000
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -90,7 +90,7 @@ def _anchor_rows(length: int):
                     pos = (first + part) << 32 | (last - first) << 16 | (anchor - first)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), keys[row + doc], pos)], names=names)
 
-    return rows
+    return tidy(rows)
 
 
 def _context_rows(length: int):
@@ -109,7 +109,7 @@ def _context_rows(length: int):
                     afters.append(text[anchor : first + (pos >> 16 & 0xFFFF) + length])
                 yield pa.RecordBatch.from_arrays([own.field("h"), own.field("tk"), own.field("pos"), own.field("twice"), pa.array(befores, pa.binary()), pa.array(afters, pa.binary())], names=names)
 
-    return rows
+    return tidy(rows)
 
 
 def repeated_windows(group: np.ndarray, pos: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _resolved_rows(length: int):
         if held:
             yield solved(pa.Table.from_batches(held))
 
-    return rows
+    return tidy(rows)
 
 
 def _window_rows(length: int):
@@ -174,7 +174,7 @@ def _window_rows(length: int):
                 key = mixed(span_hash(prefix_hash(data), start, start + length) ^ (h[i : i + 1].view(np.uint64) * MIX))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(start), tk[i])), pa.array(start + (pos[i] >> 32))], names=["key", "tk", "start"])
 
-    return rows
+    return tidy(rows)
 
 
 def _crowded(contexts: DataFrame, length: int) -> DataFrame:
@@ -277,7 +277,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(x) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return marked.select("id", "text", "__spans", "__whole").mapInArrow(report, schema)
+    return marked.select("id", "text", "__spans", "__whole").mapInArrow(tidy(report), schema)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", length: int = 400) -> DataFrame:
@@ -297,5 +297,5 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", n_chars_col: str | N
             columns = [*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 : n]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = marked.select(*docs.columns, "__spans", "__whole").mapInArrow(cleaned, docs.schema)
+    out = marked.select(*docs.columns, "__spans", "__whole").mapInArrow(tidy(cleaned), docs.schema)
     return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in docs.columns else out
