@@ -28,6 +28,8 @@ from meshwright.llm.storage import cut
 
 #: Vectors of a block, intervals that one of the next level up holds, grid dimensions, vectors that the axes are fitted to.
 BLOCK, FANOUT, GRID_DIMS, FIT_SAMPLE = 1024, 8, 6, 4096
+#: Blocks that a task packs, and pairs of blocks that it compares, at least; small tables don't pay for a cluster's number of partitions.
+BLOCKS_A_TASK, PAIRS_A_TASK = 16, 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -113,7 +115,7 @@ def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
     kinds = dict(entries.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", length int, cells array<int>"
     ordered = entries.select(*columns).mapInArrow(placed, schema)
-    ordered = ordered.repartitionByRange("label", "length", "cells", "node").sortWithinPartitions("label", "length", "cells", "node")
+    ordered = ordered.repartitionByRange("label", "length", "cells", "node").sortWithinPartitions("label", "length", "cells", "node").coalesce(_tasks(entries, BLOCKS_A_TASK * BLOCK))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -151,22 +153,28 @@ def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
     return ordered.mapInArrow(packed, f"block long, label {kinds['label']}, length int, nodes array<long>, copies array<long>, vectors binary, {boxes}")
 
 
+def _tasks(rows: DataFrame, each: int) -> int:
+    """Tasks for a checkpointed table: one for so many rows, and no fewer than run at a time."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // each)
+
+
 def _near_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """Pairs (a, b) of blocks whose boxes come within epsilon, a <= b, found from pairs of ever shorter intervals."""
     lo, hi = _box_columns("lo"), _box_columns("hi")
     order = W.partitionBy("label", "length").orderBy("block")
-    level = cut(blocks.select("block", "label", "length", *lo, *hi).withColumn("at", (F.row_number().over(order) - 1).cast("long")))
+    tasks = _tasks(blocks, 1000)
+    level = cut(blocks.select("block", "label", "length", *lo, *hi).withColumn("at", (F.row_number().over(order) - 1).cast("long")).coalesce(tasks))
     levels = [level.select("label", "length", "at", *lo, *hi)]
     while levels[-1].where("at > 0").limit(1).count():
         up = levels[-1].withColumn("at", F.floor(F.col("at") / FANOUT)).groupBy("label", "length", "at")
-        levels.append(cut(up.agg(*(F.min(c).alias(c) for c in lo), *(F.max(c).alias(c) for c in hi))))
+        levels.append(cut(up.agg(*(F.min(c).alias(c) for c in lo), *(F.max(c).alias(c) for c in hi)).coalesce(tasks)))
     pairs = levels[-1].selectExpr("label", "length", "at as i", "at as j")
     gap = " + ".join(f"pow(greatest(0D, y.{a} - x.{b}, x.{a} - y.{b}), 2)" for a, b in zip(lo, hi, strict=True))
     for below in reversed(levels[:-1]):
         part = below.withColumn("up", F.floor(F.col("at") / FANOUT))
         same = "p.label = {0}.label and p.length = {0}.length and p.{1} = {0}.up"
         found = pairs.alias("p").join(part.alias("x"), F.expr(same.format("x", "i"))).join(part.alias("y"), F.expr(same.format("y", "j")))
-        pairs = cut(found.where(f"x.at <= y.at and {gap} <= {epsilon * epsilon!r}").selectExpr("p.label", "p.length", "x.at as i", "y.at as j"))
+        pairs = cut(found.where(f"x.at <= y.at and {gap} <= {epsilon * epsilon!r}").selectExpr("p.label", "p.length", "x.at as i", "y.at as j").coalesce(tasks))
     numbered = level.select("label", "length", "at", "block")
     first = pairs.join(numbered.withColumnsRenamed({"at": "i", "block": "a"}), ["label", "length", "i"])
     return first.join(numbered.withColumnsRenamed({"at": "j", "block": "b"}), ["label", "length", "j"]).select("a", "b")
@@ -191,7 +199,8 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks = cut(_blocks(entries, principal_axes([r.embedding for r in sample]), epsilon))
     kind = np.float32 if dict(entries.dtypes)["embedding"] == "array<float>" else np.float64
     body = ["length", "nodes", "copies", "vectors"]
-    met = _near_pairs(blocks, epsilon).join(blocks.select(F.col("block").alias("a"), *body), "a").join(blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"{c}_b") for c in body)), "b")
+    near = cut(_near_pairs(blocks, epsilon))
+    met = near.join(blocks.select(F.col("block").alias("a"), *body), "a").join(blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"{c}_b") for c in body)), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def matrix(data: bytes, length: int) -> np.ndarray:
@@ -207,6 +216,7 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["node", "links", "centre"])
 
     wanted = met.select("a", "b", "length", "nodes", "copies", "vectors", "nodes_b", "copies_b", "vectors_b")
+    wanted = wanted.coalesce(_tasks(near, PAIRS_A_TASK))
     links = cut(wanted.mapInArrow(linked, "node long, links long, centre long").groupBy("node", "centre").agg(F.sum("links").alias("links")))
     found = components(links, "node", "centre")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
