@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright import timing
+from meshwright import queries, timing
 from meshwright.functions import cells as meta
 from meshwright.functions.elements import element
 from meshwright.operators import geometry, mixed, partition, refinement, solvers, sparse, spaces, topology
@@ -143,6 +143,23 @@ def test_boxes_of_very_different_sizes(spark):
     assert inside == {(p["point"], a[0]) for p in points.collect() for a in rows if all(a[1 + 2 * k] <= p["xyz"[k]] <= a[2 + 2 * k] for k in range(3))}
 
 
+def test_points_beside_a_box_by_comparison_alone(spark):
+    """A point a rounding error outside is held with the tolerance only."""
+    frame = spark.createDataFrame([(0, 0.0, 12345.6, 0.0, 12345.6, 0.0, 0.0)], "entity bigint, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")
+    points = spark.createDataFrame([(0, 1.0, 12345.6, 0.0), (1, 1.0, np.nextafter(12345.6, 2e4).item(), 0.0)], "point bigint, x double, y double, z double")
+    assert {r["point"] for r in geometry.points_in_boxes(frame, points).collect()} == {0, 1}
+    assert {r["point"] for r in geometry.points_in_boxes(frame, points, rtol=0.0).collect()} == {0}
+
+
+def test_points_in_boxes_query_is_exact(spark, tmp_path):
+    """1.01 and 4.35 times 10 are no decimals; bounds at these decimals decide as SQL's comparison does."""
+    spark.createDataFrame([(3, 4.35), (4, 1.01)], "s_suppkey bigint, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(p, q, e) for p, (a, b) in enumerate([(10.0, np.nextafter(4.35 * 10, 0).item()), (0.0, 10.0), (np.nextafter(1.01 * 10, 99).item(), 20.0), (1.01 * 10, 4.35 * 10)]) for q, e in ((0.0, a), (50.0, b))]
+    spark.createDataFrame(lines, "l_partkey bigint, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {3: 1, 4: 2}
+    assert {r["point"]: r["n"] for r in queries.QUERIES["points_in_boxes"](spark, str(tmp_path)).collect()} == want
+
+
 def test_nearest_points_agree(spark):
     draw = np.random.default_rng(2)
     for k in (1, 2, 3, 4):
