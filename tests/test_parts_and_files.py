@@ -160,6 +160,30 @@ def test_points_in_boxes_query_is_exact(spark, tmp_path):
     assert {r["point"]: r["n"] for r in queries.QUERIES["points_in_boxes"](spark, str(tmp_path)).collect()} == want
 
 
+def test_cells_that_points_only_pass_by(spark):
+    """Points 1e-9 beyond the diagonal of a square and of its neighbour: the cell on their side has them, though the lower one is near."""
+    mesh = generate.rectangle(spark, 2, 1)
+    cells = topology.with_points(mesh.cells, "vertices", mesh.nodes, ["cell"], 3)
+    rows = [(0, 0.2, 0.4 + 1e-9, 0.0), (1, 0.2, 0.4 - 1e-9, 0.0), (2, 0.7, 0.4 + 1e-9, 0.0), (3, 0.25, 0.5, 0.0)]
+    points = spark.createDataFrame(rows, "point bigint, x double, y double, z double")
+    owned = geometry.point_ownership(cells, points, most=geometry.ROUNDING)
+    assert {r["point"]: r["cell"] for r in owned.collect()} == {0: 1, 1: 0, 2: 3, 3: 0}
+    frame = geometry.boxes(cells.select("cell", F.explode("points").alias("p")).select("cell", "p.x", "p.y", "p.z"), "cell")
+    hits = geometry.colliding_cells(cells, geometry.points_in_boxes(frame, points), points, geometry.ROUNDING)
+    assert {r["point"]: r["cell"] for r in geometry.first_colliding_cell(hits, points).collect()} == {0: 1, 1: 0, 2: 3, 3: 0}
+
+
+@pytest.mark.parametrize("name", ["point_ownership", "colliding_cells"])
+def test_queries_of_points_beside_a_diagonal(spark, tmp_path, name):
+    """Of these keys' points 1462 and 16515 are within 1e-6 of a line of the 122 or 300 cells a side; 15,000 or 90,000 rows set the side."""
+    for n, key in ((15_000, 1462), (90_000, 16515)):
+        spark.range(n).select(F.col("id").alias("c_custkey")).write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+        s = int(n**0.5)
+        x, y = (key * c - np.floor(key * c) for c in (0.618033988749895, 0.754877666246693))
+        want = (int(y * s) * s + int(x * s)) * 2 + (0 if x * s - int(x * s) >= y * s - int(y * s) else 1)
+        assert queries.QUERIES[name](spark, str(tmp_path)).where(F.col("point") == key).collect()[0]["cell"] == want
+
+
 def test_nearest_points_agree(spark):
     draw = np.random.default_rng(2)
     for k in (1, 2, 3, 4):
