@@ -66,11 +66,11 @@ def create_dofmap(mesh: Mesh, e: FiniteElement) -> DataFrame:
     """(cell, dofs): dofs numbered densely by kind of entity, entity (its sorted vertices) and place on it."""
     if e.family == "Real":
         return mesh.cells.select("cell", F.array(F.lit(0).cast("bigint")).alias("dofs"))
-    rows = reliable(_entity_rows(mesh, e))
+    rows = reliable(_entity_rows(mesh, e)).hint("merge")  # as a mesh's tables; a checkpoint drops what they asked for
     numbered = dense_ids(rows.select("kind", "key", "k").distinct(), "kind", "key", "k", name="dof")
     each = rows.join(numbered, ["kind", "key", "k"])
     dofs = F.array(*(F.max(F.when(F.col("pos") == p, F.col("dof"))) for p in range(e.size)))
-    return reliable(each.groupBy("cell").agg(dofs.alias("dofs")))
+    return reliable(each.groupBy("cell").agg(dofs.alias("dofs"))).hint("merge")
 
 
 def transposed_dofmap(dofmap: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ class Mesh:
     """cells(cell bigint, vertices array<bigint>) and nodes(node bigint, x, y, z double) of one cell type.
 
     Where the geometry's degree is above 1, cells have a column geometry of all their nodes too.
+    Both ask for joins by sorting: estimated sizes leave out the rows that an explode makes, and by
+    them Spark would send tables of millions of rows through the driver.
     """
 
     cell_type: str
@@ -23,6 +25,10 @@ class Mesh:
     nodes: DataFrame
     degree: int = 1
 
+    def __post_init__(self) -> None:
+        for table in ("cells", "nodes"):
+            object.__setattr__(self, table, getattr(self, table).hint("merge"))
+
     @property
     def geometry(self) -> str:
         """The column of the nodes that give a cell its shape."""

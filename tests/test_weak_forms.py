@@ -256,3 +256,16 @@ def test_blocks(spark):
     step = solvers.direct(weak.assemble_jacobian(residual, field, none), weak.assemble_residual(residual, field, none))
     exact = spaces.interpolate(one, -F.col("x") * F.col("y")).values.withColumnRenamed("v", "w")
     assert step.join(exact, "i").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("cell", ["triangle", "quadrilateral"])
+def test_meshes_and_dofs_stay_off_the_driver(spark, cell):
+    """No join sends a table of a mesh or of dofs through the driver, however small Spark takes it for."""
+    mesh = generate.rectangle(spark, 5, 4, cell)
+    space = spaces.functionspace(mesh, ("P" if cell == "triangle" else "Q", 2))
+    keys = topology.cell_entities(mesh, 1).select("key").distinct()
+    f = spaces.interpolate(space, F.col("x"))
+    made = [topology.midpoints(keys, mesh.nodes), topology.diameters(keys, mesh.nodes), topology.locate_entities(mesh, 1, F.col("x") < 0.5), space.tabulate_dof_coordinates(), f.packed()]
+    made += [weak.assemble(TrialFunction(space) * TestFunction(space) * dx), weak.assemble(weak.lift(1.0) * TestFunction(space) * ds)]
+    for df in made:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
