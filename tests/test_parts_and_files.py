@@ -184,6 +184,18 @@ def test_queries_of_points_beside_a_diagonal(spark, tmp_path, name):
         assert queries.QUERIES[name](spark, str(tmp_path)).where(F.col("point") == key).collect()[0]["cell"] == want
 
 
+def test_closest_in_a_crowd(spark):
+    """Hundreds of entities to a bucket of the given radius, many at one place: small buckets come first, and the results are those of brute force."""
+    draw = np.random.default_rng(3)
+    places = [*np.round(draw.random(300) * 40, 2), 500.0, -2000.0]
+    rows = [(k, float(places[k % len(places)]), 0.0, 0.0) for k in range(900)]
+    entities = spark.createDataFrame(rows, "entity bigint, x double, y double, z double")
+    points = spark.createDataFrame([(k, float(x), 0.0, 0.0) for k, x in enumerate([*draw.random(60) * 60, 100.0, 499.0, -900.0, 9000.0])], "point bigint, x double, y double, z double")
+    assert geometry.first_radius(entities.dropDuplicates(["x"]), 100.0) < 10
+    want = {p["point"]: min(((x - p["x"]) ** 2, k) for k, x, _, _ in rows)[1] for p in points.collect()}
+    assert {r["point"]: r["entity"] for r in geometry.closest(entities, points, 100.0).collect()} == want
+
+
 def test_nearest_points_agree(spark):
     draw = np.random.default_rng(2)
     for k in (1, 2, 3, 4):
