@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meshwright.llm.storage import cut, drop, release, store
-from meshwright.llm.text import Words, slices, span_hash
+from meshwright.llm.text import Words, slices, span_hash, tidy, tidy_group
 
 SLICE_BYTES = 1_000_000
 #: Tokens of a block, but for a longer text; counts up to CUT are discounted; bytes of text for each part of the vocabulary.
@@ -206,7 +206,6 @@ class Block:
         history = np.empty_like(self.numbers)
         history[1:] = self.numbers[:-1]
         history[np.cumsum(self.sizes) - self.sizes] = n
-        self.history = history
         pairs, self.which = np.unique(history * (n + 1) + self.numbers, return_inverse=True)
         self.pair_history, self.pair_word = pairs // (n + 1), pairs % (n + 1)
         self.histories, self.pair_at = np.unique(self.pair_history, return_inverse=True)
@@ -331,10 +330,9 @@ def _evaluate(unigrams: Unigrams, discounts: Discounts, spread: tuple[np.ndarray
             own[pairs[known]] = (discounts.of(counts) * counts / divisor[at])[known]
         chance = np.where(own > 0, own, weight[block.pair_at] * lower)
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        token_counts = block.counts[block.numbers]
-        base = np.log10((token_counts + 0.5) / (unigrams.tokens + 0.5 * (unigrams.distinct + 1)))
+        base = np.log10((block.counts + 0.5) / (unigrams.tokens + 0.5 * (unigrams.distinct + 1)))  # of each word
         n = len(block.sizes)
-        columns = [block.sizes, np.bincount(doc, token_counts > 0, n).astype(np.int64), np.full(n, unigrams.tokens), np.bincount(doc, base, n), np.bincount(doc, np.log10(chance)[block.which], n)]
+        columns = [block.sizes, np.bincount(doc, (block.counts > 0)[block.numbers], n).astype(np.int64), np.full(n, unigrams.tokens), np.bincount(doc, base[block.numbers], n), np.bincount(doc, np.log10(chance)[block.which], n)]
         return pa.table([pa.array(block.ids, id_type), pa.array(block.train), *map(pa.array, columns)], names=names)
 
     return scored
@@ -360,22 +358,22 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).alias("id"), F.col(train).alias("train"), F.col(text_col).alias("text"))
     id_field = docs.schema[id_col]
     schema = T.StructType([T.StructField("id", id_field.dataType), T.StructField("train", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-    path = store(source.mapInArrow(_token_blocks(parts), ROW))
+    path = store(source.mapInArrow(tidy(_token_blocks(parts)), ROW))
     blocks = spark.read.parquet(path)
-    words_path = store(blocks.where("part >= 0").groupBy("part").applyInArrow(_merge_words, f"{ROW}, {STATS}"))
+    words_path = store(blocks.where("part >= 0").groupBy("part").applyInArrow(tidy_group(_merge_words), f"{ROW}, {STATS}"))
     words = spark.read.parquet(words_path)
     tokens, distinct, items = _statistics(words)
     unigrams = Unigrams(tokens, distinct, Discounts(items))
     release(spark)
     texts = blocks.where("part < 0").select("block", "part", "data", F.lit(0).alias("kind"))
     texts = texts.union(words.where("block is not null").select("block", "part", "data", F.lit(1).alias("kind")))
-    bigrams_path = store(texts.groupBy("block").applyInArrow(_ask_bigrams(parts, tokens), ROW).groupBy("part").applyInArrow(_merge_bigrams(unigrams), f"{ROW}, {STATS}, spread binary"))
+    bigrams_path = store(texts.groupBy("block").applyInArrow(tidy_group(_ask_bigrams(parts, tokens)), ROW).groupBy("part").applyInArrow(tidy_group(_merge_bigrams(unigrams)), f"{ROW}, {STATS}, spread binary"))
     bigrams = spark.read.parquet(bigrams_path)
     discounts = Discounts(_statistics(bigrams)[2])
     spread = _spread_histories([r[0] for r in bigrams.where("block is null").select("spread").collect()])
     release(spark)
     every = texts.union(bigrams.where("block is not null").select("block", "part", "data", F.lit(2).alias("kind")))
-    found = cut(every.groupBy("block").applyInArrow(_evaluate(unigrams, discounts, spread, parts, schema.names, to_arrow_type(id_field.dataType)), schema))
+    found = cut(every.groupBy("block").applyInArrow(tidy_group(_evaluate(unigrams, discounts, spread, parts, schema.names, to_arrow_type(id_field.dataType))), schema))
     for each in (path, words_path, bigrams_path):
         drop(spark, each)
     return found
