@@ -9,6 +9,10 @@ takes the place of the chunks' own ids between tokens on which both agree, the
 last that ends a word before the split one and the first that follows a word's
 end after it. If they don't agree, more words are looked at, in the end the
 whole text.
+
+What is new in a chunk or a span is itself put together from strings between
+white space, each encoded once while it is kept, where the tokenizer's
+description shows that no token and no rule reaches across white space.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +37,38 @@ from meshwright.llm.text import BASE_INVERSE, CONTINUES, SPACE, powers, prefix_h
 SLICE_BYTES = 2_000_000
 #: Bytes of chunks and their ids that a task keeps for its next texts.
 KEPT_BYTES = 96_000_000
+#: Bytes of strings between white space, and of their ids, that a task keeps.
+KEPT_WORD_BYTES = 96_000_000
 #: Bytes the rolling hash looks back on, and the mean length of a chunk as a power of two.
 WINDOW, CHUNK_BITS = 12, 12
 #: Words beside a split one that are looked at for agreement, in turn; then the whole text is encoded.
 CONTEXTS = (1, 4, 16)
 
 
+def _apart_at_space(text: dict) -> bool:
+    """Whether a tokenizer, by its description, encodes a text as the strings between its ASCII white space one after another.
+
+    So it does if words are what a pattern matches in which `\\s` stands in
+    negated sets only and that doesn't look around, if other steps change
+    characters one by one (NFC composes nothing with a space), and if added
+    tokens are plain strings without white space.
+    """
+    steps = text.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = steps.get("normalizers", [steps])
+    idle = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    before = text.get("pre_tokenizer") or {}
+    split, *rest = before.get("pretokenizers") or [before]
+    pattern = (split.get("pattern") or {}).get("Regex", ".")
+    return (
+        all(x.get("type") in ("NFC", "Lowercase") or x == idle for x in steps)
+        and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        and re.fullmatch(r"[^\\\s.^$()*?{}&-]*", re.sub(r"\\p\{[LN]\}", "", pattern.replace("[^\\s", "["))) is not None
+        and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in rest)
+        and (text.get("model") or {}).get("type") == "BPE" and not text["model"].get("dropout")
+        and all(not re.search(r"\s", x["content"]) and not any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for x in text.get("added_tokens") or [])
+    )
+
+
 def _without_idle_step(path: str) -> str:
     """The tokenizer's description without a normalizer that turns runs of white space into a space, if its words never hold white space.
 
@@ -56,8 +88,8 @@ def _without_idle_step(path: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str) -> tuple[Tokenizer, list[str]]:
-    """The tokenizer without truncation and padding, and its token strings by id; a string that ends a word ends in `</w>`."""
+def _tokenizer(path: str) -> tuple[Tokenizer, list[str], bool]:
+    """The tokenizer without truncation and padding, its token strings by id, and _apart_at_space(); a string that ends a word ends in `</w>`."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_str(_without_idle_step(path))
     tokenizer.no_truncation()
@@ -65,7 +97,8 @@ def _tokenizer(path: str) -> tuple[Tokenizer, list[str]]:
     strings = [""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
         strings[i] = token
-    return tokenizer, strings
+    with open(path, encoding="utf-8") as f:
+        return tokenizer, strings, _apart_at_space(json.load(f))
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,13 +121,27 @@ class ChunkCodes:
     """Ids of strings, each encoded once while it is kept."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.strings = _tokenizer(path)
+        self.tokenizer, self.strings, self.apart = _tokenizer(path)
         self.ends_word = np.array([w.endswith("</w>") for w in self.strings])
         self.kept: dict[bytes, np.ndarray] = {}
         self.size = 0
+        self.words: dict[bytes, bytes] = {}  # ids as numbers of 32 bits
+        self.words_size = 0
+
+    def encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def fresh(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        if not self.apart:
+            return [np.array(ids, np.uint32) for ids in self.encoded(texts)]
+        if self.words_size > KEPT_WORD_BYTES:
+            self.words, self.words_size = {}, 0
+        parts = [t.split() for t in texts]  # at what SPACE holds
+        new = list(set(chain.from_iterable(parts)).difference(self.words))
+        for w, ids in zip(new, self.encoded(new), strict=True):
+            self.words[w] = array("I", ids).tobytes()
+            self.words_size += len(w) + 4 * len(ids) + 180
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.uint32) for ws in parts]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.size > KEPT_BYTES:

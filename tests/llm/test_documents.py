@@ -336,3 +336,25 @@ def test_license_scan(spark, docs, empty):
     assert found == {1: ["mit"], 2: ["apache"], 3: ["gpl"], 4: [], 5: [], 6: [], 7: ["cc"]}
     assert license_scan.scan(docs, model).where(F.size("families") > 0).count() == 0
     assert license_scan.scan(empty, license_scan.fit(empty)).count() == 0
+
+
+def test_bpe_encodes_each_word_once(monkeypatch):
+    """A string between white space is encoded once, and only where the tokenizer's description allows it."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    codes, sent = bpe.ChunkCodes(TOKENIZER), []
+    monkeypatch.setattr(codes, "encoded", lambda texts, f=codes.encoded: sent.extend(texts) or f(texts))
+    texts = ["der  Don't\tΣΑΣ é́ <|ENDOFTEXT|> x<|endoftext|>y \x1c 1", "Don't der der\r\ń \u0085a b\x0bder", "", " "]
+    assert [ids.tolist() for ids in codes.fresh([t.encode() for t in texts])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(sent) == len(set(sent)) == len({w for t in texts for w in t.encode().split()})
+    text = json.loads(library.to_str())
+    assert bpe._apart_at_space(text)
+    text["added_tokens"][0]["lstrip"] = True
+    assert not bpe._apart_at_space(text)
+    text["added_tokens"] = []
+    for pattern in ("[^\\p{L}]+|\\p{L}+", "\\s+|\\p{L}+", "\\p{L}+(?=\\s)", "\\bx| a", "\\p{L}|\\t", "[!-~]+"):
+        text["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+        assert not bpe._apart_at_space(text)
