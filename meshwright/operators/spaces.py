@@ -367,9 +367,9 @@ def basis_values(e: FiniteElement, table: np.ndarray) -> np.ndarray:
 def evaluate(f: Function, points: DataFrame) -> DataFrame:
     """(point, v) of a field at points (point, cell, x, y, z), each pulled back to its cell; zeros where the cell is negative."""
     space, mesh = f.space, f.space.mesh
-    e, gdim = space.element, space.mesh.gdim
+    e, gdim, points = space.element, space.mesh.gdim, points.hint("merge")  # as in geometry.points_in_boxes()
     width = int(np.prod(e.value_shape, dtype=int))
-    cells = placed(mesh).withColumnRenamed("x", "nodes").join(f.packed(), "cell")
+    cells = placed(mesh).withColumnRenamed("x", "nodes").join(f.packed().hint("merge"), "cell")
     at = points.where("cell >= 0").select("point", "cell", F.array("x", "y", "z").alias("at")).join(cells, "cell").select("point", "at", "vertices", "nodes", "w")
     geometry = CoordinateElement(mesh.cell_type, mesh.degree)
 

@@ -269,3 +269,11 @@ def test_meshes_and_dofs_stay_off_the_driver(spark, cell):
     made += [weak.assemble(TrialFunction(space) * TestFunction(space) * dx), weak.assemble(weak.lift(1.0) * TestFunction(space) * ds)]
     for df in made:
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["evaluate_field", "point_ownership", "colliding_cells"])
+def test_points_from_files_stay_off_the_driver(spark, sf_dir, name):
+    """Points of a small file may be millions of rows; no join sends them through the driver."""
+    from meshwright.queries import QUERIES
+
+    assert "Broadcast" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
