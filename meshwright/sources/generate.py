@@ -36,14 +36,14 @@ class Mesh:
 
 
 def _grid(spark: SparkSession, lo: list[float], hi: list[float], n: list[int]) -> DataFrame:
-    """Grid points, x fastest."""
+    """Grid points, x fastest. A place is its share k / n of the way, so the middle is the middle: k steps of 1 / n may miss it by a rounding error."""
     if any(k < 1 for k in n):
         raise ValueError("a mesh needs at least one cell in each direction")
     total, stride, out = 1, 1, {}
     for k in n:
         total *= k + 1
     for axis, a, b, k in zip("xyz", lo, hi, n, strict=False):
-        out[axis] = F.lit(float(a)) + (F.floor(F.col("node") / stride) % (k + 1)) * F.lit((b - a) / k)
+        out[axis] = F.lit(float(a)) + (F.floor(F.col("node") / stride) % (k + 1)) / F.lit(float(k)) * F.lit(float(b - a))
         stride *= k + 1
     zero = F.lit(0.0)
     return spark.range(total).select(F.col("id").alias("node")).select("node", *(out.get(c, zero).cast("double").alias(c) for c in "xyz"))
@@ -76,8 +76,8 @@ def rectangle(spark: SparkSession, nx: int, ny: int, cell_type: str = "triangle"
     if diagonal == "crossed":
         corners = (nx + 1) * (ny + 1)
         mid = f"{corners} + id"
-        hx, hy = (hi[0] - lo[0]) / nx, (hi[1] - lo[1]) / ny
-        middles = spark.range(nx * ny).selectExpr(f"{corners} + id as node", f"double({lo[0]}) + (id % {nx} + 0.5D) * double({hx!r}) as x", f"double({lo[1]}) + (id div {nx} + 0.5D) * double({hy!r}) as y", "0D as z")
+        wx, wy = float(hi[0] - lo[0]), float(hi[1] - lo[1])
+        middles = spark.range(nx * ny).selectExpr(f"{corners} + id as node", f"double({lo[0]}) + (id % {nx} + 0.5D) / {nx} * double({wx!r}) as x", f"double({lo[1]}) + (id div {nx} + 0.5D) / {ny} * double({wy!r}) as y", "0D as z")
         return Mesh("triangle", 2, _listed(box, [[a, b, mid], [a, c, mid], [b, d, mid], [c, d, mid]]), nodes.union(middles))
     if diagonal in ("left", "right"):
         return Mesh("triangle", 2, _listed(box, left if diagonal == "left" else right), nodes)

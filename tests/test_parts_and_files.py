@@ -160,6 +160,15 @@ def test_points_in_boxes_query_is_exact(spark, tmp_path):
     assert {r["point"]: r["n"] for r in queries.QUERIES["points_in_boxes"](spark, str(tmp_path)).collect()} == want
 
 
+def test_boundary_query_at_the_middle(spark, tmp_path):
+    """49 steps of 1 / 98 are less than 0.5; nodes in the middle aren't left of it."""
+    spark.range(98 * 98).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    want = {y * 99 + x for y in range(99) for x in range(49) if y in (0, 98) or x == 0}
+    assert {r["node"] for r in queries.QUERIES["locate_entities_boundary"](spark, str(tmp_path)).collect()} == want
+    middles = generate.rectangle(spark, 49, 49, diagonal="crossed").nodes.where("node >= 2500").collect()
+    assert {r["x"] for r in middles} == {r["y"] for r in middles} == {(k + 0.5) / 49 for k in range(49)}
+
+
 def test_cells_that_points_only_pass_by(spark):
     """Points 1e-9 beyond the diagonal of a square and of its neighbour: the cell on their side has them, though the lower one is near."""
     mesh = generate.rectangle(spark, 2, 1)
