@@ -1,5 +1,7 @@
 """Partitions, orderings, mixed cell types, solvers, refinement, distances, second-order files, stores and timers."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +162,35 @@ def test_points_in_boxes_query_is_exact(spark, tmp_path):
     assert {r["point"]: r["n"] for r in queries.QUERIES["points_in_boxes"](spark, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_counts_of_boxes_by_comparison(spark, adaptive):
+    """Ties on corners, boxes without extent or bounds, equal points and points with the same id, in one range or several of each axis."""
+    draw = np.random.default_rng(11)
+    boxes = [(k, *(float(v) for lo, w in zip(draw.integers(0, 9, 2), draw.integers(0, 5, 2), strict=True) for v in (lo, lo + w))) for k in range(300)]
+    boxes += [(300, 2.0, 1.0, 0.0, 9.0), (301, None, 3.0, 0.0, 9.0), (302, 0.0, float("nan"), 0.0, float("inf")), (303, -0.0, 0.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(boxes, "entity bigint, lo_x double, hi_x double, lo_y double, hi_y double")
+    rows = [(k // 2, *(float(v) for v in draw.integers(-1, 15, 2) / (1 + k % 2))) for k in range(200)] + [(500, -9.0, 3.0), (501, None, 3.0), (502, float("nan"), 3.0), (503, -0.0, 0.0)]
+    points = spark.createDataFrame(rows, "point bigint, x double, y double")
+    pairs = points.join(frame, F.expr("x between lo_x and hi_x and y between lo_y and hi_y"))
+    want = {r["point"]: r["count"] for r in pairs.groupBy("point").count().collect()}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        found = geometry.counts_in_boxes(frame, points).collect()
+        assert len(found) == len(want) and {r["point"]: r["n"] for r in found} == want and {500, 501}.isdisjoint(want) and want[502] == 1
+        assert not geometry.counts_in_boxes(frame.where("false"), points).collect() and not geometry.counts_in_boxes(frame, points.where("false")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_points_in_boxes_query_makes_no_pairs(spark, tmp_path):
+    """60,000 points in 60,000 boxes each: 3.6 billion pairs, which a join of them works on for minutes."""
+    spark.range(60_000).selectExpr("id as s_suppkey", "5.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(120_000).selectExpr("id div 2 as l_partkey", "id % 2 * 60D as l_quantity", "id % 2 * 100D as l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    began, found = time.monotonic(), queries.QUERIES["points_in_boxes"](spark, str(tmp_path)).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).first()
+    assert tuple(found) == (60_000, 60_000, 60_000) and time.monotonic() - began < 60
+
+
 def test_boundary_query_at_the_middle(spark, tmp_path):
     """49 steps of 1 / 98 are less than 0.5; nodes in the middle aren't left of it."""
     spark.range(98 * 98).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
